@@ -2,7 +2,9 @@
 
 from tidewatch.llm import decontam, secrets, urls
 from tidewatch.llm.packing import op1_packing
+from tidewatch.llm.pages import op6_html_extraction
 from tidewatch.llm.pii import op9_personal_data
+from tidewatch.llm.quality import op7_quality_classifier
 from tidewatch.llm.rules import op4_quality_rules
 from tidewatch.llm.sharding import op5_sharding
 
@@ -12,6 +14,8 @@ QUERIES = {
     "op3_url_filter": urls.op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": decontam.op10_decontamination,
 }
