@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL that answers them where SQL can."""
 
 from tidewatch.llm import decontam, secrets, urls
+from tidewatch.llm.jaccard import op8_ngram_jaccard
 from tidewatch.llm.packing import op1_packing
 from tidewatch.llm.pages import op6_html_extraction
 from tidewatch.llm.pii import op9_personal_data
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": decontam.op10_decontamination,
 }
