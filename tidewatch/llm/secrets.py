@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import table, text_or_empty
+from tidewatch.llm.tables import table, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -91,14 +91,14 @@ def scan_unseen(versions: DataFrame, path: str = "path", content: str = "content
         chosen = chosen.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     # Build sides are digests; texts are dealt by blob and key together, so copies spread out.
     todo = all_rows.join(chosen.hint("shuffle_hash"), ["blob", "key"], "left_semi").select("blob", "content")
-    new = scanned(todo, "content", rules).select("blob", F.lit(version).alias("rule_version"), "spans")
-    return new
+    # A repeated row has its blob's key twice; the ledger takes a blob once.
+    spans = scanned(todo, "content", rules).groupBy("blob").agg(F.first("spans").alias("spans"))
+    return spans.select("blob", F.lit(version).alias("rule_version"), "spans")
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "path", content: str = "content", version: str = VERSION) -> DataFrame:
     """Every row's path and blob with the ledger's spans of that blob (an empty array where there are none)."""
-    known = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0))
-    known = known.groupBy("blob").agg(F.first("spans").alias("spans"))
+    known = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
     rows = addressed(versions, path, content).select("path", "blob")
     return rows.join(known, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
 
@@ -114,7 +114,8 @@ def op2_secret_scan(spark, sf_dir):
     an empty table gives none; other columns play no part.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings_by_path(docs, scan_unseen(docs, "doc_id", "text"), "doc_id", "text")
+    # The ledger is a table: so no filter on findings moves the scan before the choice of what to scan.
+    found = findings_by_path(docs, written(scan_unseen(docs, "doc_id", "text"), "ledger"), "doc_id", "text")
     spans, n_base = F.col("spans"), sum(r.base for r in RULES)
     base = F.filter(spans, lambda s: s["rank"] < n_base)
     number = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
