@@ -25,7 +25,7 @@ TEXT_BITS = 40
 @dataclass(frozen=True)
 class Splitting:
     ranges: int = 4096  #: fine ranges aimed at; a shard's size errs by half of one
-    sample: int = 65_536  #: keys drawn, size-weighted, in each round
+    sample: int = 65_536  #: keys drawn, size-weighted, in each round, about
     overfull: float = 2.0  #: a range of more than so many times the aimed size is divided again
     rounds: int = 4
 
@@ -36,11 +36,15 @@ def place_of(text: Column, doc_id: Column) -> Column:
     return F.shiftleft(high, low).bitwiseOR(F.shiftrightunsigned(F.xxhash64(doc_id), 64 - low))
 
 
-def _drawn(rows: DataFrame, most: int, round_no: int) -> np.ndarray:
-    """Places of the `most` rows with the least exponential clocks, whose rate is the row's size: a sample without replacement, weighted by size. The clock is a hash, so a rerun draws the same rows."""
+def _drawn(rows: DataFrame, total: int, aim: int, round_no: int) -> np.ndarray:
+    """Sorted places of a sample of about `aim` rows, weighted by size.
+
+    Each row has an exponential clock whose rate is its size; rows are drawn whose clock has rung by
+    aim / total. The clock is a hash, so a rerun draws the same rows, and no partition sends more
+    than its share.
+    """
     uniform = (F.shiftrightunsigned(F.xxhash64("place", "size", F.lit(round_no)), 11) + 0.5) / float(1 << 53)
-    clock = -F.log(uniform) / F.col("size")
-    got = rows.select("place", clock.alias("clock")).orderBy("clock", "place").limit(most).select("place").toPandas()
+    got = rows.where(-F.log(uniform) / F.col("size") <= aim / max(1, total)).select("place").toPandas()
     return np.sort(got.place.to_numpy(np.int64))
 
 
@@ -61,7 +65,8 @@ def _totals(rows: DataFrame, bounds: np.ndarray) -> pd.DataFrame:
 
 def split(rows: DataFrame, options: Splitting = Splitting()) -> tuple[np.ndarray, pd.DataFrame]:
     """(bounds, exact size and count of each range that has rows), no range overfull unless it holds one place only or the rounds are used up."""
-    drawn = _drawn(rows, options.sample, 0)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    drawn = _drawn(rows, total, options.sample, 0)
     quantiles = np.linspace(0, 1, options.ranges + 1)[1:-1]
     bounds = np.unique(np.quantile(drawn, quantiles, method="lower")) if len(drawn) else drawn
     totals = _totals(rows, bounds)
@@ -72,7 +77,7 @@ def split(rows: DataFrame, options: Splitting = Splitting()) -> tuple[np.ndarray
             break
         numbers = _range_of(bounds)
         inside = rows.where(numbers("place").isin([int(x) for x in over["range"]]))
-        more = _drawn(inside, options.sample, n)
+        more = _drawn(inside, int(over["size"].sum()), options.sample, n)
         cuts = []
         for r in over.itertuples():
             own = more[bisect_left(more, r.least) : bisect_left(more, r.most)]

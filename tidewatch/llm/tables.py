@@ -46,3 +46,11 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def hash_share(of: Column, wanted: int, there: int) -> Column:
+    """Whether a row is in the share of about `wanted` of `there` rows with the least hashes: bounded samples that a rerun draws alike, without a sort."""
+    if there <= wanted:
+        return F.lit(True)
+    edge = -(1 << 63) + (1 << 64) * wanted // there
+    return F.xxhash64(of) <= F.lit(edge).cast("long")
