@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.llm.tables import fresh, table
+from tidewatch.llm.tables import fresh, hash_share, table
 from tidewatch.llm.words import chunks, scan
 
 PASSAGE = 64
@@ -148,7 +148,7 @@ def train(x: np.ndarray, of: np.ndarray, label: np.ndarray, steps: int = 150, ra
     return model
 
 
-#: Labelled documents that the model is fitted to, at most: those with the least hashes of their id.
+#: Labelled documents that the model is fitted to, about: those with the least hashes of their id.
 MOST_LABELLED = 3000
 #: Passages of a labelled document that the fit sees, evenly spaced over it, at most; scoring sees all.
 MOST_FITTED_PASSAGES = 64
@@ -164,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Labels that differ for one id count as the larger; null labels and ids are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    # At most `most` rows of two numbers: safe to broadcast.
+    known = known.where(hash_share(F.col(doc_id), most, known.count()))
+    known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    # About `most` rows of two numbers: safe to broadcast.
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), "_id").select(F.xxhash64("_id").alias("h"), "_label", "_text")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
