@@ -8,10 +8,11 @@ must share prefix tokens under the other orders as well before the whole sets ar
 How common a token is comes from a sketch of counts of fixed size over all texts. Any order loses no
 pair; a good one keeps the tokens that many texts share out of the prefixes.
 
-Dense groups aren't expanded into pairs. In each of a few rounds, the texts that share a token are
-compared with the one among them that has the fewest rarer tokens; what links becomes one component,
-and only tokens that still join different components go on. The last round compares what is left, across
-components only. So no link between different components is lost, and no pair within one is looked at.
+A token that a few texts share gives all their pairs at once. Dense groups aren't expanded: in each of a
+few rounds, the texts that share a token are compared with the one among them that has the fewest rarer
+tokens; what links becomes one component, and only tokens that still join different components go on. The
+last round compares what is left, across components only. So no link between different components is
+lost, and no pair within one is looked at.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ class Join:
     sketch_bits: int = 20  #: the sketch has 2 ** sketch_bits counts, 4 bytes each
     bitmap_bits: int = 26  #: bits that mark texts with candidates
     star_rounds: int = 2
-    salts: int = 64  #: parts into which the partners of one text are dealt
+    few: int = 16  #: texts that share a token, up to which all their pairs are tried
+    partners: int = 256  #: partners of one text that go to a task, about
 
     def prefix(self, n):
         return n - (self.percent * n + 99) // 100 + 1
@@ -188,20 +190,29 @@ def _second_pass(join: Join, classes):
 
 # --- Third pass: whole sets of texts with candidates ------------------------------------------------
 
-_SET = "node long, whole binary, other binary"
+_SET = "node long, n int, whole binary, other binary"
+_BYTES = 5  #: of a token, where whole sets are compared: 40 bits
+
+
+def packed(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _BYTES)
+    return out.view("<u8").ravel()
 
 
 def _third_pass(join: Join, classes, bitmap):
     """Sets, and behind each other the prefixes under the second and third order, of the texts that the bitmap marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
         seen: set[int] = set()
         for b in batches:
             for _, raw in _chunks(b.column(0).to_pylist()):
                 s = sets_of(raw, join.words)
-                place = s.node & ((1 << join.bitmap_bits) - 1)
-                marked = ((bits[place >> 3] >> (place & 7)) & 1).astype(bool) & (s.n > 0)
+                marked = _in_bitmap(bitmap.value, s.node, join.bitmap_bits) & (s.n > 0)
                 chosen = []
                 for i in np.flatnonzero(marked):
                     if (node := int(s.node[i])) not in seen:
@@ -214,9 +225,9 @@ def _third_pass(join: Join, classes, bitmap):
                 whole, prefixes = [], []
                 for i in chosen:
                     a, n = first[i], s.n[i]
-                    whole.append(s.tokens[a : a + n].astype("<u8").tobytes())
+                    whole.append(packed(np.sort(s.tokens[a : a + n] & np.uint64((1 << 8 * _BYTES) - 1))))
                     prefixes.append(b"".join(np.sort(o[a : a + join.prefix(n)]).tobytes() for o in others))
-                yield pa.record_batch([pa.array(s.node[chosen]), pa.array(whole, pa.binary()), pa.array(prefixes, pa.binary())], ["node", "whole", "other"])
+                yield pa.record_batch([pa.array(s.node[chosen]), pa.array(s.n[chosen].astype(np.int32)), pa.array(whole, pa.binary()), pa.array(prefixes, pa.binary())], ["node", "n", "whole", "other"])
 
     return run
 
@@ -228,29 +239,44 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def similar(join: Join, set_a: bytes, set_b: bytes, other_a: bytes, other_b: bytes) -> bool:
+def similar(join: Join, n_a: int, n_b: int, set_a: bytes, set_b: bytes, other_a: bytes, other_b: bytes) -> bool:
     """Whether the pair shares prefix tokens under every order and its whole sets are similar enough."""
     for k in (0, 1):
         a, b = (np.frombuffer(o, "<u4").reshape(2, -1)[k] for o in (other_a, other_b))
         if not _shared(a, b):
             return False
-    a, b = np.frombuffer(set_a, "<u8"), np.frombuffer(set_b, "<u8")
-    return bool(join.enough(_shared(a, b), len(a), len(b)))
+    return bool(join.enough(_shared(unpacked(set_a), unpacked(set_b)), n_a, n_b))
+
+
+def _marked(df: DataFrame, node: str, nodes: DataFrame, bits: int) -> DataFrame:
+    """Rows of df whose node is among nodes, and few others: a bitmap of fixed size is sent out, so df isn't shuffled."""
+    bitmap = df.sparkSession.sparkContext.broadcast(bytes(_bitmap(nodes, bits)))
+    at = df.columns.index(node)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_in_bitmap(bitmap.value, b.column(at).to_numpy(), bits)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The (a, b) that are similar. Only b's set travels with the pair; a's is sent once for each salt of its partners, so neither is gathered in one task."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(join.salts)).cast("int"))
-    hubs = salted.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("whole").alias("whole_a"), F.col("other").alias("other_a")), "a")
-    both = salted.join(sets.select(F.col("node").alias("b"), F.col("whole").alias("whole_b"), F.col("other").alias("other_b")), "b").join(hubs, ["a", "salt"])
+    """The (a, b) that are similar. Only b's set travels with the pair. The partners of one a are dealt into parts, and a's set is sent once for each, so neither is gathered in one task."""
+    own = pairs.groupBy("a").agg(F.count("*").alias("_k"))
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("_k") / join.partners)).cast("int")
+    salted = pairs.join(own, "a").select("a", "b", salt.alias("salt"))
+    needed = _marked(sets, "node", pairs.select(F.col("a").alias("node")).union(pairs.select("b")), join.bitmap_bits)
+    side = lambda x: needed.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in needed.columns))
+    hubs = salted.select("a", "salt").distinct().join(side("a"), "a")
+    both = salted.join(side("b"), "b").join(hubs, ["a", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sa, sb, oa, ob = (c.to_pylist() for c in b.columns[2:])
-            ok = pa.array([similar(join, *x) for x in zip(sa, sb, oa, ob, strict=True)], pa.bool_())
+            rest = (c.to_pylist() for c in b.columns[2:])
+            ok = pa.array([similar(join, *x) for x in zip(*rest, strict=True)], pa.bool_())
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    return both.select("a", "b", "whole_a", "whole_b", "other_a", "other_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "whole_a", "whole_b", "other_a", "other_b").mapInArrow(run, "a long, b long")
 
 
 # --- Components ------------------------------------------------------------------------------------
@@ -276,13 +302,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_components(tokens: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _shared_tokens(prefixes: DataFrame) -> DataFrame:
+    """Prefix rows of tokens that different texts have, with m, the number of the token's rows."""
+    own = Window.partitionBy("token")
+    rows = prefixes.withColumns({"_least": F.min("node").over(own), "_most": F.max("node").over(own), "m": F.count("*").over(own)})
+    return rows.where("_least < _most").drop("_least", "_most")
+
+
+def _with_components(tokens: DataFrame, comps: DataFrame) -> DataFrame:
     """Prefix rows with their component, of tokens that still join different ones."""
-    if comps is None:
-        rows = tokens.withColumn("comp", F.col("node"))
-    else:
-        rows = tokens.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     own = Window.partitionBy("token")
+    rows = tokens.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = rows.withColumns({"_least": F.min("comp").over(own), "_most": F.max("comp").over(own)})
     return rows.where("_least < _most").drop("_least", "_most")
 
@@ -301,10 +331,16 @@ def _star(rows: DataFrame, join: Join) -> DataFrame:
 
 def _rest(rows: DataFrame, join: Join) -> DataFrame:
     x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _passes(join, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    pairs = x.join(y, apart & _passes(join, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def _in_bitmap(bitmap: bytes, nodes: np.ndarray, bits: int) -> np.ndarray:
+    place = nodes & ((1 << bits) - 1)
+    return ((np.frombuffer(bitmap, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _bitmap(nodes: DataFrame, bits: int) -> bytearray:
     """2 ** bits bits, whatever the number of nodes; those of their low bits are set."""
     place = F.col("node").bitwiseAND(F.lit((1 << bits) - 1))
@@ -323,7 +359,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     and those without words, have no shingles and are linked with nothing, each other included.
     Repeated rows come out alike. A null id is never the least unless the component has no other.
     An empty table gives an empty one; other columns play no part. Equality of shingles is that of
-    52 bits of a hash, equality of sets that of 64.
+    52 bits of a hash (40 where two sets are compared), equality of sets that of 64.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -331,17 +367,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = first.where(F.col("node").isNotNull()).select("doc_id", "n", "node")
     classes = spark.sparkContext.broadcast(classes_of(_sketch(first, join)))
     prefixes = source.select("text").mapInArrow(_second_pass(join, classes), _PREFIX)
-    tokens = written(_with_components(prefixes, None).drop("comp"), "tokens")
-    bitmap = spark.sparkContext.broadcast(bytes(_bitmap(tokens.select("node"), join.bitmap_bits)))
+    tokens = written(_shared_tokens(prefixes), "tokens")
+    alone = F.col("node").alias("comp")
+    small, large = tokens.where(F.col("m") <= join.few).select("*", alone), tokens.where(F.col("m") > join.few)
+    pairs = written(_rest(small, join).union(_star(large.select("*", alone), join)).distinct(), "pairs")
+    candidates = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node"))
+    bitmap = spark.sparkContext.broadcast(bytes(_bitmap(candidates, join.bitmap_bits)))
     sets = source.select("text").mapInArrow(_third_pass(join, classes, bitmap), _SET)
     sets = written(sets.dropDuplicates(["node"]), "sets")
-    links, comps = None, None
+    comps = components(written(_verified(pairs, sets, join), "found"))
     for n in range(join.star_rounds + 1):
-        left = _with_components(tokens, comps)
-        pairs = _star(left, join) if n < join.star_rounds else _rest(left, join)
-        found = written(_verified(pairs, sets, join), f"found{n}")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
+        left = written(_with_components(large, comps), "left")
+        if left.isEmpty():
+            break
+        pairs = written(_star(left, join) if n < join.star_rounds else _rest(left, join), "pairs")
+        found = written(_verified(pairs, sets, join), "found")
+        comps = components(found.union(comps.select("node", "comp")))
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_node = least.join(of_comp, "comp").select("node", "component_id")
