@@ -100,10 +100,10 @@ def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     Untouched documents keep their text as it is, null included. All columns are kept.
     """
-    keyed, n = fresh(docs, "_row", "_n")
+    keyed, n, hits = fresh(docs, "_row", "_n", "_hits")
     own = docs.withColumn(keyed, F.xxhash64(doc_id, F.col(text).cast("string")))
     found = contamination(docs, items, doc_id, text, item_id, item_text).where(F.size("hit") > 0)
-    found = found.select(F.xxhash64("doc_id", "text").alias(keyed), F.col("hit").alias("_hit"), F.col("n_words").alias(n)).dropDuplicates([keyed])
+    found = found.select(F.xxhash64("doc_id", "text").alias(keyed), F.col("hit").alias(hits), F.col("n_words").alias(n)).dropDuplicates([keyed])
     joined = own.join(found, keyed, "left")
     body = F.col(text).cast("string")
     # Words and what stands between them: gaps[i] stands before word i, the last gap after all.
@@ -114,15 +114,15 @@ def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     def step(acc: Column, x: Column) -> Column:
         word_at = acc["at"] + x["g"]
         end = word_at + x["w"]
-        is_hit = F.array_contains("_hit", acc["i"])
+        is_hit = F.array_contains(hits, acc["i"])
         was_hit = acc["cut"]
         kept = F.when(is_hit & was_hit, F.lit("")).when(is_hit, F.substring(body, acc["at"] + 1, x["g"])).otherwise(F.substring(body, acc["at"] + 1, x["g"] + x["w"]))
         return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), is_hit.alias("cut"), F.concat(acc["out"], F.array(kept)).alias("out"))
 
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(False).alias("cut"), F.array().cast("array<string>").alias("out"))
     rest = F.aggregate(lengths, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
-    clean = F.when(F.col("_hit").isNull(), body).otherwise(rest)
-    kept = joined.where(F.col("_hit").isNull() | (F.size("_hit") <= most_share * F.col(n)))
+    clean = F.when(F.col(hits).isNull(), body).otherwise(rest)
+    kept = joined.where(F.col(hits).isNull() | (F.size(hits) <= most_share * F.col(n)))
     return kept.withColumn(text, clean).select(*docs.columns)
 
 
