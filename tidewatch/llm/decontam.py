@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import fresh, table, text_or_empty
+from tidewatch.llm.tables import fresh, hash_side, table, text_or_empty, written
 
 WINDOW = 10
 #: Runs of benchmark windows up to which their hash set is broadcast (some 50 bytes each); larger sets are joined by shuffle.
@@ -74,6 +74,16 @@ def occurrences(docs: DataFrame, windows: DataFrame, key: str, words: str) -> Da
     return tried.join(send(windows), ["length", "words"]).select(key, "start", "length", "item_id")
 
 
+def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """_key (a hash of id and text), hit (positions of hit words, ascending) and items, of the documents with hits."""
+    keyed = docs.select(F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("_key"), words_of(text_or_empty(text)).alias("_words"))
+    # Repeated rows share a key, so their occurrences come more than once; sets take them once.
+    found = occurrences(keyed, windows_of(items, item_id, item_text), "_key", "_words")
+    found = found.groupBy("_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
+    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
+    return found.select("_key", hit.alias("hit"), "items")
+
+
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, text, n_words, hit (positions of the hit words), items (ids of items with occurring windows) of every row of docs.
 
@@ -83,47 +93,39 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     windows still hit. Other columns play no part.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    body = text_or_empty("text")
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("_key"), words_of(body).alias("_words"))
-    # Repeated rows share a key, so their occurrences come more than once; sets take them once.
-    found = occurrences(keyed, windows_of(items, item_id, item_text), "_key", "_words")
-    found = found.groupBy("_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
-    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    found = found.select("_key", hit.alias("hit"), "items")
-    out = rows.withColumns({"_key": F.xxhash64("doc_id", "text"), "n_words": F.size(words_of(body)).cast("long")})
+    out = rows.withColumns({"_key": F.xxhash64("doc_id", "text"), "n_words": F.size(words_of(text_or_empty("text"))).cast("long")})
+    found = hits(docs, items, doc_id, text, item_id, item_text)
     kind = items.schema[item_id].dataType.simpleString()
     return out.join(found, "_key", "left").select("doc_id", "text", "n_words", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
 def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_share: float = 0.5) -> DataFrame:
     """docs without benchmark passages: a document goes if more than most_share of its words are hit, else its hit words and what stands between them go.
 
     Untouched documents keep their text as it is, null included. All columns are kept.
     """
-    keyed, n, hits = fresh(docs, "_row", "_n", "_hits")
-    own = docs.withColumn(keyed, F.xxhash64(doc_id, F.col(text).cast("string")))
-    found = contamination(docs, items, doc_id, text, item_id, item_text).where(F.size("hit") > 0)
-    found = found.select(F.xxhash64("doc_id", "text").alias(keyed), F.col("hit").alias(hits), F.col("n_words").alias(n)).dropDuplicates([keyed])
-    joined = own.join(found, keyed, "left")
+    key, hit = fresh(docs, "_row", "_hits")
+    found = written(hits(docs, items, doc_id, text, item_id, item_text).select(F.col("_key").alias(key), F.col("hit").alias(hit)), "hits")
     body = F.col(text).cast("string")
+    joined = docs.withColumn(key, F.xxhash64(F.col(doc_id), body)).join(hash_side(found, F.size(hit) + 4, 5_000_000), key, "left")
     # Words and what stands between them: gaps[i] stands before word i, the last gap after all.
     low = lower_ascii(body)
-    gaps, spelled = F.split(low, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    gaps, spelled = F.split(low, _WORD, -1), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
     lengths = F.zip_with(F.slice(gaps, 1, F.size(spelled)), spelled, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
 
     def step(acc: Column, x: Column) -> Column:
-        word_at = acc["at"] + x["g"]
-        end = word_at + x["w"]
-        is_hit = F.array_contains(hits, acc["i"])
-        was_hit = acc["cut"]
-        kept = F.when(is_hit & was_hit, F.lit("")).when(is_hit, F.substring(body, acc["at"] + 1, x["g"])).otherwise(F.substring(body, acc["at"] + 1, x["g"] + x["w"]))
-        return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), is_hit.alias("cut"), F.concat(acc["out"], F.array(kept)).alias("out"))
+        is_hit = F.array_contains(hit, acc["i"])
+        size = F.when(~is_hit, x["g"] + x["w"]).when(acc["cut"], F.lit(0)).otherwise(x["g"])
+        kept = F.substring(body, acc["at"] + 1, size)
+        return F.struct((acc["i"] + 1).alias("i"), (acc["at"] + x["g"] + x["w"]).alias("at"), is_hit.alias("cut"), F.concat(acc["out"], F.array(kept)).alias("out"))
 
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(False).alias("cut"), F.array().cast("array<string>").alias("out"))
     rest = F.aggregate(lengths, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
-    clean = F.when(F.col(hits).isNull(), body).otherwise(rest)
-    kept = joined.where(F.col(hits).isNull() | (F.size(hits) <= most_share * F.col(n)))
-    return kept.withColumn(text, clean).select(*docs.columns)
+    kept = joined.where(F.col(hit).isNull() | (F.size(hit) <= most_share * F.size(spelled)))
+    return kept.withColumn(text, F.when(F.col(hit).isNull(), body).otherwise(rest)).select(*docs.columns)
 
 
 def op10_decontamination(spark, sf_dir):

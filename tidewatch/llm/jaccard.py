@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.tables import table, written
+from tidewatch.llm.tables import hash_side, table, written
 from tidewatch.llm.words import chunks, mix, scan, windows
 
 _TOKEN = np.uint64((1 << 52) - 1)
@@ -393,7 +393,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """docs without all but the least id of each component; rows with a null id and texts without shingles stay."""
     gone = jaccard_components(docs, doc_id, text, join).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(hash_side(written(gone, "gone")), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
 
 
 def op8_ngram_jaccard(spark, sf_dir):

@@ -54,3 +54,9 @@ def hash_share(of: Column, wanted: int, there: int) -> Column:
         return F.lit(True)
     edge = -(1 << 63) + (1 << 64) * wanted // there
     return F.xxhash64(of) <= F.lit(edge).cast("long")
+
+
+def hash_side(df: DataFrame, cells: Column | None = None, most: int = 500_000) -> DataFrame:
+    """A written table as the hash side of a join with a far larger one: broadcast if its rows, or the sum of `cells`, are at most `most`, which is counted first; else dealt by hash beside it, so that the larger side isn't sorted."""
+    n = df.agg(F.sum(cells)).first()[0] if cells is not None else df.count()
+    return F.broadcast(df) if (n or 0) <= most else df.hint("shuffle_hash")
