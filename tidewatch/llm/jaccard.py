@@ -54,8 +54,8 @@ class Join:
         return (100 + self.percent) * overlap >= self.percent * (n_a + n_b)
 
 
-def _chunks(texts: list[str | None]):
-    for at, raw in chunks(texts, 4_000_000):
+def _chunks(texts):
+    for at, raw in chunks(texts):
         for k in range(0, len(raw), _DOCS):
             yield at + k, raw[k : k + _DOCS]
 
@@ -125,8 +125,8 @@ def _first_pass(join: Join):
         size = 1 << join.sketch_bits
         sketch, some = np.zeros(size, np.int64), False
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for at, raw in _chunks(texts):
+            ids = b.column(0)
+            for at, raw in _chunks(b.column(1)):
                 some = True
                 s = sets_of(raw, join.words)
                 sketch += np.bincount(bucket_of(s.tokens, join.sketch_bits), minlength=size)
@@ -172,7 +172,7 @@ def _second_pass(join: Join, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for _, raw in _chunks(b.column(0).to_pylist()):
+            for _, raw in _chunks(b.column(0)):
                 s = sets_of(raw, join.words)
                 new = np.zeros(len(raw), bool)
                 for i, node in enumerate(s.node.tolist()):
@@ -210,7 +210,7 @@ def _third_pass(join: Join, classes, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for _, raw in _chunks(b.column(0).to_pylist()):
+            for _, raw in _chunks(b.column(0)):
                 s = sets_of(raw, join.words)
                 marked = _in_bitmap(bitmap.value, s.node, join.bitmap_bits) & (s.n > 0)
                 chosen = []
@@ -272,8 +272,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rest = (c.to_pylist() for c in b.columns[2:])
-            ok = pa.array([similar(join, *x) for x in zip(*rest, strict=True)], pa.bool_())
+            # Row by row: sets of long texts are large.
+            ok = pa.array([similar(join, *(c[i].as_py() for c in b.columns[2:])) for i in range(b.num_rows)], pa.bool_())
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "whole_a", "whole_b", "other_a", "other_b").mapInArrow(run, "a long, b long")

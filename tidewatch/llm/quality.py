@@ -77,7 +77,7 @@ def passages(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(columns, axis=1), of
 
 
-def all_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def all_passages(texts) -> tuple[np.ndarray, np.ndarray]:
     parts = [(x, of + at) for at, raw in chunks(texts) for x, of in [passages(raw)]]
     if not parts:
         return np.zeros((0, 12 + HASHED)), np.zeros(0, np.int64)
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, of = all_passages(b.column(2).to_pylist())
+            x, of = all_passages(b.column(2))
             cut = np.searchsorted(of, np.arange(b.num_rows + 1))
             bags = []
             for i in range(b.num_rows):
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Attention | None, text: str = "text", carry: l
             if model is None:
                 p = np.full(b.num_rows, 0.5)
             else:
-                p = np.concatenate([np.zeros(0), *(model.scores(*passages(raw)) for _, raw in chunks(b.column(b.num_columns - 1).to_pylist()))])
+                p = np.concatenate([np.zeros(0), *(model.scores(*passages(raw)) for _, raw in chunks(b.column(b.num_columns - 1)))])
             yield pa.record_batch([*b.columns[:-1], pa.array(p, pa.float64())], [*b.schema.names[:-1], result])
 
     return sent.mapInArrow(run, StructType(sent.schema.fields[:-1]).add(result, "double"))

@@ -81,16 +81,18 @@ def scan(texts: list[bytes], lower: bool = False) -> Words:
     return w
 
 
-def chunks(texts: list[str | None], most: int = 2_000_000):
-    """(index of the first text, encoded texts), about `most` bytes at a time; a longer text stands alone."""
+def chunks(texts, most: int = 1_000_000):
+    """(index of the first text, encoded texts), about `most` bytes at a time; a longer text stands alone. Texts are a list, or an Arrow array that is turned into Python's strings bit by bit."""
     at, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        b = (t or "").encode("utf-8", "surrogatepass")
-        if held and size + len(b) > most:
-            yield at, held
-            at, held, size = i, [], 0
-        held.append(b)
-        size += len(b) + 1
+    for k in range(0, len(texts), 256):
+        part = texts[k : k + 256]
+        for i, t in enumerate(part if isinstance(part, list) else part.to_pylist(), k):
+            b = (t or "").encode("utf-8", "surrogatepass")
+            if held and size + len(b) > most:
+                yield at, held
+                at, held, size = i, [], 0
+            held.append(b)
+            size += len(b) + 1
     if held:
         yield at, held
 
