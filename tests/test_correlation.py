@@ -123,3 +123,16 @@ def test_nothing_runs_or_sends():
 def test_severity_helpers(spark):
     r = spark.range(1).select(cep.escalated(F.lit(2), F.lit(2), F.lit(1)).alias("a"), cep.escalated(F.lit(1), F.lit(4), F.lit(1)).alias("b"), scalar.severity_rank(F.lit("odd")).alias("c")).first()
     assert (r.a, r.b, r.c) == ("HIGH", "CRITICAL", 2)
+
+
+def test_service(spark):
+    from tidewatch.plans import api
+
+    rows = scenarios.alerts(spark, "apt").withColumn("evidence", F.lit("{}"))
+    whole, drafts = api.respond(rows)
+    assert whole.count() == 1 and drafts.count() == 6 and whole.first().intent == "MULTI_STAGE_APT_INTRUSION"
+    service = api.Service(scenarios.simulate(spark).withColumn("seq", F.lit(1)))
+    assert service.metrics().first().critical == 1 and service.health().first().status == "ok"
+    assert service.list_incidents(severity="critical").count() == 1
+    alerts = api.detect_all(*scenarios.rehearsal(spark).values())
+    assert {"portscan_hll", "dga_tunneling", "ja4_malware", "c2_beaconing"} <= {r.detector_name for r in alerts.select("detector_name").distinct().collect()}

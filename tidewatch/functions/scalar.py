@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed
@@ -211,31 +211,51 @@ def domain_label(domain: Column | str) -> Column:
     return F.when(common, F.get(labels, F.size(labels) - 2)).otherwise(labels[0])
 
 
-def dga_score(domain: Column | str) -> Column:
-    """How likely a domain is generated, 0.001 to 0.999: entropy, runs of consonants, vowels, letters next to digits and rare pairs, through a sigmoid; well-known names are damped."""
-    clean = F.btrim(F.btrim(F.lower(_col(domain))), F.lit("."))
-    label = domain_label(domain)
+def _score_parts(label: Column) -> dict[str, Column]:
+    """What a domain score looks at in a label."""
     n = F.length(label)
-    share = lambda pattern: F.regexp_count(label, F.lit(pattern)) / n
-    vowels, digits, n_digits = share("[aeiou]"), share("[0-9]"), F.regexp_count(label, F.lit("[0-9]"))
-    streak = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(label, F.lit("[b-df-hj-np-tv-z]+"), F.lit(0)), F.length)), F.lit(0))
-    entropy = shannon_entropy(label)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(label, i, F.lit(2)))
-    changes = F.size(F.filter(pairs, lambda p: p.rlike("^([a-z][0-9]|[0-9][a-z])$"))) / F.greatest(F.lit(1), n - 1)
-    rare = F.size(F.filter(pairs, lambda p: p.isin(fixed.RARE_BIGRAMS)))
+    runs = F.regexp_extract_all(label, F.lit("[b-df-hj-np-tv-z]+"), F.lit(0))
+    return {
+        "n": n,
+        "vowels": F.regexp_count(label, F.lit("[aeiou]")) / n,
+        "n_digits": F.regexp_count(label, F.lit("[0-9]")),
+        "streak": F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)),
+        "entropy": shannon_entropy(label),
+        "pairs": F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(label, i, F.lit(2))),
+    }
+
+
+def _score(p: dict[str, Column], label: Column, benign: Column) -> Column:
+    n, entropy, streak, vowels, pairs = p["n"], p["entropy"], p["streak"], p["vowels"], p["pairs"]
+    changes = F.size(F.filter(pairs, lambda x: x.rlike("^([a-z][0-9]|[0-9][a-z])$"))) / F.greatest(F.lit(1), n - 1)
     parts = (
         F.when(entropy >= 3.8, 0.40).when(entropy >= 3.2, 0.25).when(entropy < 2.2, -0.30).otherwise(0.0),
         F.when(streak >= 6, 0.35).when(streak >= 4, 0.20).otherwise(0.0),
         F.when(vowels < 0.15, 0.25).when(vowels > 0.60, 0.15).otherwise(0.0),
-        F.when((changes >= 0.25) & (n_digits >= 2), 0.30).otherwise(0.0),
-        rare * 0.15,
-        F.when((n >= 12) & ((vowels < 0.20) | (digits > 0.20)), 0.15).otherwise(0.0),
+        F.when((changes >= 0.25) & (p["n_digits"] >= 2), 0.30).otherwise(0.0),
+        F.size(F.filter(pairs, lambda x: x.isin(fixed.RARE_BIGRAMS))) * 0.15,
+        F.when((n >= 12) & ((vowels < 0.20) | (p["n_digits"] / n > 0.20)), 0.15).otherwise(0.0),
     )
-    score = sum(parts[1:], parts[0])
-    p = 1.0 / (1.0 + F.exp(-3.5 * (score - 0.25)))
-    benign = _ends_in_domain(clean, fixed.SCORE_BENIGN_DOMAINS) | label.isin(fixed.SCORE_BENIGN_LABELS)
-    p = F.when(benign, F.least(p * 0.15, F.lit(0.10))).otherwise(p)
-    return F.when(F.coalesce(n, F.lit(0)) < 3, 0.05).otherwise(F.round(F.least(F.lit(0.999), F.greatest(F.lit(0.001), p)), 4))
+    likely = 1.0 / (1.0 + F.exp(-3.5 * (sum(parts[1:], parts[0]) - 0.25)))
+    likely = F.least(likely * F.when(benign, 0.15).otherwise(1.0), F.when(benign, 0.10).otherwise(1.0))
+    return F.when(F.coalesce(n, F.lit(0)) < 3, 0.05).otherwise(F.round(F.least(F.lit(0.999), F.greatest(F.lit(0.001), likely)), 4))
+
+
+def dga_score(domain: Column | str) -> Column:
+    """How likely a domain is generated, 0.001 to 0.999: entropy, runs of consonants, vowels, letters next to digits and rare pairs, through a sigmoid; well-known names are damped."""
+    clean = F.btrim(F.btrim(F.lower(_col(domain))), F.lit("."))
+    label = domain_label(domain)
+    return _score(_score_parts(label), label, _ends_in_domain(clean, fixed.SCORE_BENIGN_DOMAINS) | label.isin(fixed.SCORE_BENIGN_LABELS))
+
+
+def with_dga_score(df: DataFrame, domain: str, name: str = "dga_prob") -> DataFrame:
+    """df with dga_score of a column, in steps, so that what several parts need is computed once and plans stay small."""
+    clean = F.btrim(F.btrim(F.lower(F.col(domain))), F.lit("."))
+    out = df.withColumns({"_label": domain_label(domain), "_benign": _ends_in_domain(clean, fixed.SCORE_BENIGN_DOMAINS)})
+    parts = _score_parts(F.col("_label"))
+    out = out.withColumns({f"_{k}": c for k, c in parts.items()})
+    score = _score({k: F.col(f"_{k}") for k in parts}, F.col("_label"), F.col("_benign") | F.col("_label").isin(fixed.SCORE_BENIGN_LABELS))
+    return out.withColumn(name, score).drop("_label", "_benign", *(f"_{k}" for k in parts))
 
 
 def severity_rank(severity: Column) -> Column:
@@ -322,6 +342,16 @@ def human_bps(mbps: Column) -> Column:
     return F.when(mbps >= 1000, F.concat(F.format_number(mbps / 1000, 2), F.lit(" Gbps"))).otherwise(F.concat(F.format_number(mbps, 2), F.lit(" Mbps")))
 
 
+def human_latency(ms: Column) -> Column:
+    return F.when(ms < 1, F.concat(F.format_number(ms * 1000, 1), F.lit(" us"))).when(ms < 1000, F.concat(F.format_number(ms, 1), F.lit(" ms"))).otherwise(F.concat(F.format_number(ms / 1000, 2), F.lit(" s")))
+
+
+def relative_time(seconds: Column, now: Column) -> Column:
+    """How long before `now`, in the largest fitting unit."""
+    ago = F.greatest(F.lit(0), F.floor(now - seconds))
+    return F.when(ago < 60, F.concat(ago.cast("string"), F.lit("s ago"))).when(ago < 3600, F.concat(F.floor(ago / 60).cast("string"), F.lit("m ago"))).when(ago < 86400, F.concat(F.floor(ago / 3600).cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(ago / 86400).cast("string"), F.lit("d ago")))
+
+
 def partition_of(key: Column, n: int) -> Column:
     """A partition number that equal keys share; an empty key, or n up to 1, gives 0."""
     if n <= 1:

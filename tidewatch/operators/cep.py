@@ -1,6 +1,6 @@
 """Alerts to incidents: rate limits, sessions, windows, fusion, subnets, storms.
 
-What depends on earlier decisions (the token bucket) is folded in order over each source's alerts; the
+What depends on earlier decisions (the token bucket) is an ordered scan of each source's alerts; the
 rest are aggregates and frames.
 """
 
@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed, scalar
+from tidewatch.operators import ordered
 
 SECOND = 1_000_000
 
 
+class Bucket:
+    """Whether a token is left for an alert. A clock that runs back adds nothing."""
+
+    def __init__(self, capacity: float, refill: float):
+        self.capacity, self.refill, self.tokens, self.last = capacity, refill, capacity, None
+
+    def __call__(self, us: int) -> tuple[bool]:
+        passed = 0.0 if self.last is None else max(0.0, (us - self.last) / SECOND)
+        self.tokens = min(self.capacity, self.tokens + passed * self.refill)
+        ok = self.tokens >= 1.0
+        self.tokens -= ok
+        self.last = us
+        return (ok,)
+
+
 def token_bucket(alerts: DataFrame, capacity: float = 10.0, refill: float = 5.0, key: str = "source_ip") -> DataFrame:
-    """alerts with allowed: each takes a token of its source's bucket, if one is left. A clock that runs back adds nothing."""
-    rows = alerts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("us", "event_id"))).alias("xs"))
-    out = "array<struct<event_id:bigint,allowed:boolean,tokens:double>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(capacity).alias("tokens"), F.array().cast(out).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        passed = F.greatest(F.lit(0.0), F.coalesce(x["us"] - a["last"], F.lit(0)) / float(SECOND))
-        have = F.least(F.lit(capacity), a["tokens"] + passed * refill)
-        ok = have >= 1.0
-        left = F.when(ok, have - 1.0).otherwise(have)
-        own = F.struct(x["event_id"].alias("event_id"), ok.alias("allowed"), left.alias("tokens"))
-        return F.struct(x["us"].alias("last"), left.alias("tokens"), F.concat(a["out"], F.array(own)).alias("out"))
-
-    said = rows.select(key, F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("d")).select(key, "d.event_id", "d.allowed")
-    return alerts.join(said, [key, "event_id"])
+    """alerts with allowed: each takes a token of its source's bucket, if one is left."""
+    return ordered.scan(alerts, [key], ["us", "event_id"], ["us"], "allowed boolean", lambda: Bucket(capacity, refill))
 
 
 def storms(limited: DataFrame, key: str = "source_ip") -> DataFrame:

@@ -1,18 +1,22 @@
 """The six detectors, each a function from telemetry to alerts.
 
 Windows are frames ordered by (time, event_id): RANGE frames count rows of the same time together, ROWS
-frames take them in order of event_id. Each key's frames need one shuffle on that key; what all detectors
-of connections share (`src_ip`) is dealt once. A key with very many rows is one sort of one task: the
-rates and counts by second are added up before the keyed stage, the frames of 500 rows aren't.
+frames take them in order of event_id. What depends on earlier rows in ways that no frame says (moving
+means, cooldowns, the entropy of the last 500 ports at a constant cost a row) is an ordered scan: one
+shuffle and sort by key, then one pass that holds a key's state alone.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter, deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import fixed, scalar
+from tidewatch.operators import ordered
 
 SECOND = 1_000_000
 FAILED = ("S0", "REJ", "RSTO", "RSTR", "RSTOS0")
@@ -40,35 +44,66 @@ def first_match(*rules: tuple) -> Column:
     return out
 
 
-def cooled(df: DataFrame, key: list[str], seconds: float, always: Column | None = None, at: str = "us") -> DataFrame:
-    """Of each key's candidates in order, those at least `seconds` after the last one that was kept; where `always` holds, a candidate is kept at any time.
+class Cooldown:
+    """Yes to a row at least `gap` after the last yes, or if its flag is set."""
 
-    What is kept depends on what was kept before, so each key's candidates are folded in order, as one
-    array of structs. Candidates are few: they have met a rule already.
-    """
-    gap, keep = int(seconds * SECOND), F.lit(False) if always is None else always
-    rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "event_id", keep.alias("always"), F.struct("*").alias("row")))).alias("xs"))
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("last"), F.array().cast(rows.schema["xs"].dataType).alias("out"))
+    def __init__(self, gap: int):
+        self.gap, self.last = gap, None
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = (x["at"] - acc["last"] >= gap) | x["always"]
-        return F.struct(F.when(ok, x["at"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+    def __call__(self, at: int, always: bool) -> tuple[bool]:
+        ok = self.last is None or always or at - self.last >= self.gap
+        if ok:
+            self.last = at
+        return (ok,)
 
-    return rows.select(F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("x")).select("x.row.*")
+
+def cooled(df: DataFrame, key: list[str], seconds: float, always: Column | None = None, at: str = "us") -> DataFrame:
+    """Of each key's candidates in order, those at least `seconds` after the last one that was kept; where `always` holds, a candidate is kept at any time."""
+    gap = int(seconds * SECOND)
+    flagged = df.withColumn("_always", F.lit(False) if always is None else always)
+    return ordered.kept(flagged, key, [at, "event_id"], [at, "_always"], lambda: Cooldown(gap)).drop("_always")
 
 
 # --- A. Floods: entropy of ports, half-open share, rate against its moving mean, by target -----------
 
 
+class LastPorts:
+    """Entropy of the last ports seen, with a constant cost a port: sums of c log2 c change at two counts."""
+
+    def __init__(self, rows: int):
+        self.rows, self.ports, self.counts, self.sum, self.since = rows, deque(), Counter(), 0.0, 0
+
+    def _change(self, port: int, by: int) -> None:
+        c = self.counts[port]
+        self.counts[port] = c + by
+        if c + by:
+            self.sum += (c + by) * math.log2(c + by)
+        if c:
+            self.sum -= c * math.log2(c)
+
+    def __call__(self, port: int) -> tuple[float, float, int, list[int]]:
+        self.ports.append(port)
+        self._change(port, 1)
+        if len(self.ports) > self.rows:
+            gone = self.ports.popleft()
+            self._change(gone, -1)
+            if not self.counts[gone]:
+                del self.counts[gone]
+        self.since += 1
+        if self.since == 4096:  # so that rounding errors don't add up
+            self.since, self.sum = 0, math.fsum(c * math.log2(c) for c in self.counts.values())
+        n = len(self.ports)
+        h = round(max(0.0, math.log2(n) - self.sum / n), 4) if n > 1 else 0.0
+        share = round(min(1.0, h / math.log2(min(n, 65536))), 4) if n > 1 else 0.0
+        return h, share, n, [self.ports[i] for i in range(max(-10, -n), 0)]
+
+
+PORTS = "port_entropy double, normalized_entropy double, n_ports int, sample_target_ports array<int>"
+
+
 def port_entropy(conn: DataFrame, rows: int = 500) -> DataFrame:
-    """entropy and its share of the most possible, of the target's last `rows` ports."""
-    frame = _last_rows(["dst_ip"], rows)
-    ports = conn.withColumn("ports", F.collect_list("dst_port").over(frame))
-    n = F.size("ports")
-    h = F.round(scalar.entropy_of_array(F.col("ports")), 4)
-    most = F.log2(F.least(n, F.lit(65536)).cast("double"))
-    out = ports.withColumns({"port_entropy": F.when(n > 1, h).otherwise(0.0), "n_ports": n, "sample_target_ports": F.slice("ports", F.greatest(n - 9, F.lit(1)), 10)})
-    return out.withColumn("normalized_entropy", F.round(F.when(n > 1, F.least(F.lit(1.0), F.col("port_entropy") / most)).otherwise(0.0), 4)).drop("ports")
+    """conn with the entropy of the target's last `rows` ports, its share of the most possible, and the last ten ports."""
+    return ordered.scan(conn, ["dst_ip"], ["us", "event_id"], ["dst_port"], PORTS, lambda: LastPorts(rows))
 
 
 def half_open(conn: DataFrame, rows: int = 500) -> DataFrame:
@@ -103,18 +138,72 @@ def moving_rate(conn: DataFrame, alpha: float = 0.08) -> DataFrame:
     return per.select("dst_ip", F.explode(F.aggregate("xs", first, step, lambda a: a["out"])).alias("s")).select("dst_ip", "s.*")
 
 
+class MovingRate:
+    """Packets a second against their moving mean and variance, event by event."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.second, self.n = alpha, None, 0
+        self.rate = self.ewma = self.pkts = 0.0
+        self.var = 1.0
+
+    def __call__(self, us: int, pkts: int) -> tuple[float, float, float]:
+        second = us // SECOND
+        if self.second is None:
+            self.second, self.pkts, self.rate, self.ewma, self.n = second, float(pkts), float(pkts), float(pkts), 1
+        elif second == self.second:
+            self.pkts += pkts
+        else:
+            measured = self.pkts / max(1, second - self.second)
+            diff = measured - self.ewma
+            if self.n == 1:
+                self.ewma, self.var = measured, max(1.0, (0.1 * measured) ** 2)
+            else:
+                self.ewma += self.alpha * diff
+                self.var = (1 - self.alpha) * (self.var + self.alpha * diff * diff)
+            self.rate, self.second, self.pkts = measured, second, float(pkts)
+            self.n += 1
+        instant = max(self.rate, self.pkts)
+        return instant, self.ewma, round((instant - self.ewma) / (math.sqrt(max(0.01, self.var)) + 1e-5), 4)
+
+
+RATES = "rate double, ewma double, z_score double"
+
+
 def rate_scores(conn: DataFrame, alpha: float = 0.08) -> DataFrame:
-    """conn with rate (the larger of the last second's and this second's packets so far), ewma and z_score."""
-    so_far = Window.partitionBy("dst_ip", "second").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = conn.withColumn("second", F.expr(f"us div {SECOND}")).withColumn("so_far", F.sum("orig_pkts").over(so_far).cast("double"))
-    rows = rows.join(moving_rate(conn, alpha).withColumnsRenamed({"rate": "_rate", "ewma": "_ewma", "var": "_var"}), ["dst_ip", "second"])
-    instant = F.greatest("_rate", "so_far")
-    z = (instant - F.col("_ewma")) / (F.sqrt(F.greatest(F.lit(0.01), F.col("_var"))) + 1e-5)
-    return rows.withColumns({"rate": instant, "ewma": F.col("_ewma"), "z_score": F.round(z, 4)}).drop("_rate", "_ewma", "_var", "so_far", "second")
+    """conn with rate (the larger of the last second's and this second's packets so far), ewma and z_score of its target."""
+    return ordered.scan(conn, ["dst_ip"], ["us", "event_id"], ["us", "orig_pkts"], RATES, lambda: MovingRate(alpha))
+
+
+class Flood:
+    """All that the rules of floods look at, in one pass."""
+
+    def __init__(self, rows: int, alpha: float):
+        self.ports, self.rate, self.states, self.bad = LastPorts(rows), MovingRate(alpha), deque(maxlen=rows), 0
+
+    def __call__(self, us: int, port: int, pkts: int, state: str) -> tuple:
+        if len(self.states) == self.states.maxlen:
+            self.bad -= self.states[0]
+        self.states.append(state in HALF_OPEN)
+        self.bad += self.states[-1]
+        return *self.ports(port), *self.rate(us, pkts), round(self.bad / len(self.states), 4)
+
+
+class FloodCooldown:
+    """Yes after the gap, or to a rate of 1.5 times the last alert's."""
+
+    def __init__(self, gap: int):
+        self.gap, self.last, self.rate = gap, None, 0.0
+
+    def __call__(self, us: int, rate: float) -> tuple[bool]:
+        ok = self.last is None or us - self.last >= self.gap or rate >= 1.5 * self.rate
+        if ok:
+            self.last, self.rate = us, rate
+        return (ok,)
 
 
 def ddos_candidates(conn: DataFrame, rows: int = 500, high: float = 100.0, low: float = 50.0, z: float = 3.0) -> DataFrame:
-    df = rate_scores(half_open(port_entropy(conn, rows), rows))
+    made = f"{PORTS}, {RATES}, half_open_ratio double"
+    df = ordered.scan(conn, ["dst_ip"], ["us", "event_id"], ["us", "dst_port", "orig_pkts", "conn_state"], made, lambda: Flood(rows, 0.08))
     rate, zs, h, hn, syn = (F.col(c) for c in ("rate", "z_score", "port_entropy", "normalized_entropy", "half_open_ratio"))
     flood = (rate >= high) | ((rate >= low) & (zs >= z))
     found = first_match(
@@ -125,18 +214,6 @@ def ddos_candidates(conn: DataFrame, rows: int = 500, high: float = 100.0, low:
     return df.withColumn("found", found).where("found is not null")
 
 
-def _folded_floods(df: DataFrame, seconds: float) -> DataFrame:
-    """Cooldown of floods: also kept if the rate is at least 1.5 times that of the last alert."""
-    rows = df.groupBy("dst_ip").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "rate", F.struct("*").alias("row")))).alias("xs"))
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("last"), F.lit(0.0).alias("rate"), F.array().cast(rows.schema["xs"].dataType).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        ok = (x["us"] - a["last"] >= int(seconds * SECOND)) | (x["rate"] >= 1.5 * a["rate"])
-        return F.struct(F.when(ok, x["us"]).otherwise(a["last"]).alias("last"), F.when(ok, x["rate"]).otherwise(a["rate"]).alias("rate"), F.when(ok, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
-
-    return rows.select(F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("x")).select("x.row.*")
-
-
 def as_alerts(df: DataFrame, detector: str, source: str, target: Column | None, port: Column | None, protocol: str, evidence: Column, technique: Column, window: Column | None = None) -> DataFrame:
     """The one schema of all detectors' alerts. An alert's time is its event's, its id a hash of what it is."""
     none = F.lit(None)
@@ -160,7 +237,8 @@ def as_alerts(df: DataFrame, detector: str, source: str, target: Column | None,
 
 
 def detect_ddos(conn: DataFrame, cooldown: float = 5.0, **limits) -> DataFrame:
-    df = _folded_floods(ddos_candidates(conn, **limits), cooldown)
+    gap = int(cooldown * SECOND)
+    df = ordered.kept(ddos_candidates(conn, **limits), ["dst_ip"], ["us", "event_id"], ["us", "rate"], lambda: FloodCooldown(gap))
     evidence = F.struct(F.round("rate", 2).alias("current_rate_pps"), F.round("ewma", 2).alias("ewma_rate_pps"), F.col("z_score").alias("rate_z_score"), "port_entropy", F.lit(16.0).alias("max_entropy"), F.col("normalized_entropy").alias("normalized_port_entropy"), F.col("half_open_ratio").alias("syn_only_ratio"), "sample_target_ports")
     length = F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("n_ports") / F.greatest(F.lit(1.0), F.col("rate"))))
     technique = F.when(F.col("found.threat_class") == "protocol_ddos", "T1499").otherwise("T1498")
@@ -268,7 +346,8 @@ def dns_features(dns: DataFrame) -> DataFrame:
     frame = _last_seconds(["src_ip"], 30)
     failed = F.col("rcode_name") == "NXDOMAIN"
     # Scores of names are of the name alone: each different name is scored once and joined back.
-    names = dns.select("query").distinct().withColumns({"subdomain": scalar.subdomain("query"), "dga_prob": scalar.dga_score("query"), "benign_name": scalar.is_benign_domain("query")})
+    names = dns.select("query").distinct().withColumns({"subdomain": scalar.subdomain("query"), "benign_name": scalar.is_benign_domain("query")})
+    names = scalar.with_dga_score(names, "query")
     names = names.withColumn("subdomain_entropy", scalar.shannon_entropy("subdomain"))
     df = dns.withColumns({"queries_30": F.count("*").over(frame), "nx_30": F.sum(failed.cast("int")).over(frame), "nx_ratio_30": F.round(_share(failed, frame), 4)})
     return df.join(names, "query", "left").withColumns({"q_len": F.length("query"), "sub_len": F.length("subdomain"), "is_nx": failed})
@@ -292,7 +371,9 @@ def dns_candidates(dns: DataFrame) -> DataFrame:
         F.when(tunnel, "DNS_TUNNELING_PAYLOAD").when((F.col("q_len") >= 55) & (h >= 3.8), "DNS_EXFILTRATION_LENGTH"),
         F.when((F.col("nx_30") >= 8) & (F.col("nx_ratio_30") >= 0.75) & ((p >= 0.6) | (h >= 3.2) | nx), "NXDOMAIN_DGA_SWEEP"),
     ))
-    df = df.withColumn("subtypes", labels).where(~(F.col("benign_name") & (h < 3.8) & (p < 0.70)) & (F.size("subtypes") > 0))
+    # One condition over both sides of the join: apart, its parts on names would move below it with all that scores are made of.
+    wanted = F.when(F.size("subtypes") > 0, ~(F.col("benign_name") & (h < 3.8) & (p < 0.70))).otherwise(F.lit(False))
+    df = df.withColumn("subtypes", labels).where(wanted)
     has_tunnel = F.arrays_overlap("subtypes", F.array(F.lit("DNS_TUNNELING_PAYLOAD"), F.lit("DNS_EXFILTRATION_LENGTH")))
     conf = F.greatest(F.lit(0.75), F.least(F.lit(0.99), comp))
     conf = F.when(has_tunnel | F.array_contains("subtypes", "ALGORITHMIC_DGA"), F.greatest(conf, F.lit(0.88))).otherwise(conf)
@@ -445,17 +526,24 @@ def beacon_candidates(conn: DataFrame, key: list[str] | None = None, least: int
     return df.where((F.col("n_gaps") >= least) & (F.col("mean") >= 0.5) & (F.col("cv") < most_cv)).withColumn("found", found)
 
 
+class BeaconCooldown:
+    """Yes after the gap, or after so many events."""
+
+    def __init__(self, gap: int, events: int):
+        self.gap, self.events, self.last, self.n = gap, events, None, 0
+
+    def __call__(self, us: int, n: int) -> tuple[bool]:
+        ok = self.last is None or us - self.last >= self.gap or n - self.n >= self.events
+        if ok:
+            self.last, self.n = us, n
+        return (ok,)
+
+
 def detect_beacons(conn: DataFrame, key: list[str] | None = None, cooldown: float = 60.0, events: int = 25, **limits) -> DataFrame:
     """Suppressed only while less than `cooldown` has passed and fewer than `events` events have come since the last alert."""
     key = key or PAIR
-    rows = beacon_candidates(conn, key, **limits).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("us", "n_events", F.struct("*").alias("row")))).alias("xs"))
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("last"), F.lit(-(1 << 30)).alias("n"), F.array().cast(rows.schema["xs"].dataType).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        ok = (x["us"] - a["last"] >= int(cooldown * SECOND)) | (x["n_events"] - a["n"] >= events)
-        return F.struct(F.when(ok, x["us"]).otherwise(a["last"]).alias("last"), F.when(ok, x["n_events"]).otherwise(a["n"]).alias("n"), F.when(ok, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
-
-    df = rows.select(F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("x")).select("x.row.*")
+    gap = int(cooldown * SECOND)
+    df = ordered.kept(beacon_candidates(conn, key, **limits), key, ["us", "event_id"], ["us", "n_events"], lambda: BeaconCooldown(gap, events))
     evidence = F.struct(F.col("mean").alias("mean_delta_t_sec"), F.col("std").alias("std_delta_t_sec"), "cv", F.col("median").alias("median_delta_t_sec"), "mad", "jitter", F.col("n_gaps").alias("sample_count"))
     return as_alerts(df, "c2_beaconing", "src_ip", F.col("dst_ip"), F.col("dst_port"), "tcp", evidence, F.lit("T1071"), F.col("span"))
 
