@@ -107,11 +107,23 @@ def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     Untouched documents keep their text as it is, null included. All columns are kept.
     """
-    key, hit = fresh(docs, "_row", "_hits")
-    found = written(hits(docs, items, doc_id, text, item_id, item_text).select(F.col("_key").alias(key), F.col("hit").alias(hit)), "hits")
+    key, clean, gone = fresh(docs, "_row", "_clean", "_gone")
     body = F.col(text).cast("string")
-    joined = docs.withColumn(key, F.xxhash64(F.col(doc_id), body)).join(hash_side(found, F.size(hit) + 4, 5_000_000), key, "left")
-    # Words and what stands between them: gaps[i] stands before word i, the last gap after all.
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), body))
+    found = written(hits(docs, items, doc_id, text, item_id, item_text).select(F.col("_key").alias(key), F.col("hit").alias(gone)), "hits")
+    # Only documents with hits are taken apart; the others meet a small table of what came of those.
+    touched = keyed.select(key, body.alias(clean)).join(hash_side(found, F.size(gone) + 4, 5_000_000), key)
+    spelled, rest = _taken_apart(F.col(clean), F.col(gone))
+    touched = touched.select(key, rest.alias(clean), (F.size(gone) > most_share * F.size(spelled)).alias(gone)).dropDuplicates([key])
+    touched = written(touched, "touched")
+    joined = keyed.join(hash_side(touched, F.octet_length(clean) + 16, 32_000_000), key, "left")
+    kept = joined.where(F.col(gone).isNull() | ~F.col(gone))
+    return kept.withColumn(text, F.when(F.col(gone).isNull(), body).otherwise(F.col(clean))).select(*docs.columns)
+
+
+def _taken_apart(body: Column, hit: Column) -> tuple[Column, Column]:
+    """(words of a text, the text without the words at the positions `hit` and what stands between them)."""
+    # gaps[i] stands before word i, the last gap after all.
     low = lower_ascii(body)
     gaps, spelled = F.split(low, _WORD, -1), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
     lengths = F.zip_with(F.slice(gaps, 1, F.size(spelled)), spelled, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
@@ -123,9 +135,7 @@ def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         return F.struct((acc["i"] + 1).alias("i"), (acc["at"] + x["g"] + x["w"]).alias("at"), is_hit.alias("cut"), F.concat(acc["out"], F.array(kept)).alias("out"))
 
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(False).alias("cut"), F.array().cast("array<string>").alias("out"))
-    rest = F.aggregate(lengths, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
-    kept = joined.where(F.col(hit).isNull() | (F.size(hit) <= most_share * F.size(spelled)))
-    return kept.withColumn(text, F.when(F.col(hit).isNull(), body).otherwise(rest)).select(*docs.columns)
+    return spelled, F.aggregate(lengths, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
 
 
 def op10_decontamination(spark, sf_dir):
