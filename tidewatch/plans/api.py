@@ -1,4 +1,4 @@
-"""What a service would offer over an incident store, as functions over DataFrames: no server, no socket."""
+"""What a service would offer over an incident store, as functions over DataFrames: there is no web server."""
 
 from __future__ import annotations
 
