@@ -201,14 +201,14 @@ class FloodCooldown:
         return (ok,)
 
 
-def ddos_candidates(conn: DataFrame, rows: int = 500, high: float = 100.0, low: float = 50.0, z: float = 3.0) -> DataFrame:
+def ddos_candidates(conn: DataFrame, rows: int = 500, high: float = 100.0, low: float = 50.0, z: float = 3.0, half_open_least: float = 0.70) -> DataFrame:
     made = f"{PORTS}, {RATES}, half_open_ratio double"
     df = ordered.scan(conn, ["dst_ip"], ["us", "event_id"], ["us", "dst_port", "orig_pkts", "conn_state"], made, lambda: Flood(rows, 0.08))
     rate, zs, h, hn, syn = (F.col(c) for c in ("rate", "z_score", "port_entropy", "normalized_entropy", "half_open_ratio"))
     flood = (rate >= high) | ((rate >= low) & (zs >= z))
     found = first_match(
         (flood & ((h < 1.2) | (hn < 0.20)), "volumetric_ddos", "CRITICAL", F.least(F.lit(0.99), 0.85 + F.when(zs > 5, 0.14).otherwise(0.08))),
-        (((rate >= low) | ((rate >= 0.4 * low) & (zs >= 0.8 * z))) & (syn >= 0.70), "protocol_ddos", "CRITICAL", F.least(F.lit(0.98), 0.88 + F.when(syn >= 0.9, 0.10).otherwise(0.05))),
+        (((rate >= low) | ((rate >= 0.4 * low) & (zs >= 0.8 * z))) & (syn >= half_open_least), "protocol_ddos", "CRITICAL", F.least(F.lit(0.98), 0.88 + F.when(syn >= 0.9, 0.10).otherwise(0.05))),
         (flood & (hn >= 0.85), "volumetric_ddos", "HIGH", F.least(F.lit(0.95), 0.82 + F.when(zs > 5, 0.10).otherwise(0.05))),
     )
     return df.withColumn("found", found).where("found is not null")

@@ -111,9 +111,13 @@ def dga_score(spark, d):
     return telemetry.dns(spark, d).select("query").distinct().select("query", scalar.domain_label("query").alias("label"), scalar.dga_score("query").alias("dga_prob"))
 
 
-@query()
+_SYMBOLS = f"'{fixed.DOMAIN_SYMBOLS}'"
+
+
+@query(with_views(f"SELECT DISTINCT query, array_to_string(list_transform(generate_series(1, 75), lambda i: CASE WHEN i > length(query) THEN 0 WHEN instr({_SYMBOLS}, substr(query, i, 1)) > 0 THEN instr({_SYMBOLS}, substr(query, i, 1)) + 1 ELSE 1 END), ' ') AS tokens FROM dns", "dns"))
 def domain_tokens(spark, d):
-    return telemetry.dns(spark, d).select("query").distinct().select("query", scalar.domain_tokens("query").alias("tokens"))
+    tokens = F.array_join(F.transform(scalar.domain_tokens("query"), lambda x: x.cast("string")), " ")
+    return telemetry.dns(spark, d).select("query").distinct().select("query", tokens.alias("tokens"))
 
 
 @query(with_views("SELECT DISTINCT dst_ip, '32.' || split_part(dst_ip, '.', 4) || '.' || split_part(dst_ip, '.', 3) || '.' || split_part(dst_ip, '.', 2) || '.' || split_part(dst_ip, '.', 1) || '.rpz-ip' AS rpz FROM conn", "conn"))
@@ -249,6 +253,37 @@ def ddos_ewma(spark, d):
     return detect.moving_rate(telemetry.conn(spark, d)).select("dst_ip", "second", *(F.round(c, 4).alias(c) for c in ("rate", "ewma", "var")))
 
 
+_RATES = """
+num AS (SELECT dst_ip, event_id, us, us // 1000000 AS sec, orig_pkts::DOUBLE AS p, row_number() OVER (PARTITION BY dst_ip ORDER BY us, event_id) AS k FROM conn),
+fold AS (
+  SELECT dst_ip, event_id, k, sec, p AS pkts, p AS rate, p AS ewma, 1.0::DOUBLE AS var, 1 AS n FROM num WHERE k = 1
+  UNION ALL
+  SELECT dst_ip, event_id, k, sec, CASE WHEN same THEN pkts + p ELSE p END, CASE WHEN same THEN rate ELSE m END,
+    CASE WHEN same THEN ewma WHEN n = 1 THEN m ELSE ewma + 0.08::DOUBLE * (m - ewma) END,
+    CASE WHEN same THEN var WHEN n = 1 THEN greatest(1.0::DOUBLE, pow(0.1::DOUBLE * m, 2)) ELSE 0.92::DOUBLE * (var + 0.08::DOUBLE * pow(m - ewma, 2)) END,
+    CASE WHEN same THEN n ELSE n + 1 END
+  FROM (SELECT x.dst_ip, x.event_id, x.k, x.sec, x.p, f.pkts, f.rate, f.ewma, f.var, f.n, x.sec = f.sec AS same, f.pkts / greatest(1, x.sec - f.sec) AS m FROM fold f JOIN num x ON x.dst_ip = f.dst_ip AND x.k = f.k + 1)),
+rated AS (SELECT dst_ip, event_id, greatest(rate, pkts) AS rate, ewma, round((greatest(rate, pkts) - ewma) / (sqrt(greatest(0.01::DOUBLE, var)) + 1e-5::DOUBLE), 4) AS z FROM fold)"""
+
+
+@query(with_views(f"+{_RATES} SELECT dst_ip, event_id, round(rate, 4) AS rate, round(ewma, 4) AS ewma FROM rated", "conn"))
+def ddos_rates(spark, d):
+    return detect.rate_scores(telemetry.conn(spark, d)).select("dst_ip", "event_id", F.round("rate", 4).alias("rate"), F.round("ewma", 4).alias("ewma"))
+
+
+@query(with_views(f"""+{_RATES},
+w AS (SELECT dst_ip, event_id, list(dst_port) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS ports,
+  round(avg(CASE WHEN conn_state IN ('S0', 'REJ', 'RSTOS0') THEN 1 ELSE 0 END) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS syn FROM conn),
+h AS (SELECT *, len(ports) AS n, CASE WHEN len(ports) > 1 THEN round(log2(len(ports)) - (SELECT sum(c * log2(c)) FROM (SELECT count(*) AS c FROM (SELECT unnest(ports) AS p) GROUP BY p)) / len(ports), 4) ELSE 0.0 END AS h FROM w),
+j AS (SELECT *, round(CASE WHEN n > 1 THEN least(1.0, h / log2(least(n, 65536))) ELSE 0.0 END, 4) AS hn FROM h JOIN rated USING (dst_ip, event_id)),
+r AS (SELECT *, CASE WHEN (rate >= 40 OR (rate >= 20 AND z >= 3)) AND (h < 1.2 OR hn < 0.20) THEN 1 WHEN (rate >= 20 OR (rate >= 8 AND z >= 2.4)) AND syn >= 0.50 THEN 2 WHEN (rate >= 40 OR (rate >= 20 AND z >= 3)) AND hn >= 0.85 THEN 3 END AS rule FROM j)
+SELECT dst_ip, event_id, CASE rule WHEN 2 THEN 'protocol_ddos' ELSE 'volumetric_ddos' END AS threat_class, CASE rule WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
+  round(CASE rule WHEN 1 THEN least(0.99, 0.85 + CASE WHEN z > 5 THEN 0.14 ELSE 0.08 END) WHEN 2 THEN least(0.98, 0.88 + CASE WHEN syn >= 0.9 THEN 0.10 ELSE 0.05 END) ELSE least(0.95, 0.82 + CASE WHEN z > 5 THEN 0.10 ELSE 0.05 END) END, 4) AS confidence FROM r WHERE rule IS NOT NULL""", "conn"))
+def ddos_rules(spark, d):
+    df = detect.ddos_candidates(telemetry.conn(spark, d), rows=100, high=40.0, low=20.0, half_open_least=0.50)
+    return df.select("dst_ip", "event_id", "found.threat_class", "found.severity", "found.confidence")
+
+
 @query()
 def ddos_alerts(spark, d):
     return detect.detect_ddos(telemetry.conn(spark, d), high=40.0, low=20.0)
@@ -338,6 +373,15 @@ def exfil_rules(spark, d):
     return detect.exfil_candidates(telemetry.conn(spark, d), quantile=False).select("src_ip", "event_id", F.col("found.detail").alias("kind"), "found.confidence")
 
 
+@query(with_views(f"""+{_EXFIL},
+r AS (SELECT *, out_60 / (in_60 + 1024.0::DOUBLE) AS r60, out_300 / (in_300 + 1024.0::DOUBLE) AS r300, {_EXTERNAL.format(ip="dst_ip")} AS ext FROM w),
+c AS (SELECT * FROM r WHERE (orig_bytes >= 10485760 AND flow_ratio >= 10 AND ext) OR (r60 >= 5 AND out_60 >= 5242880) OR (NOT (r60 >= 5 AND out_60 >= 5242880) AND out_300 >= 10485760 AND r300 >= 4 AND ext)),
+{cooldown_sql("c", "src_ip", 10_000_000)}
+SELECT src_ip AS source_ip, event_id FROM kept WHERE ok""", "conn"))
+def exfil_cooldown(spark, d):
+    return detect.detect_exfil(telemetry.conn(spark, d), quantile=False).select("source_ip", "event_id")
+
+
 @query()
 def exfil_p95(spark, d):
     return detect.ratio_quantile(detect.exfil_windows(telemetry.conn(spark, d))).select("src_ip", "event_id", F.round("p95", 4).alias("p95"))
@@ -390,6 +434,14 @@ def dns_triggers(spark, d):
     return detect.dns_candidates(telemetry.dns(spark, d)).select("src_ip", "event_id", F.array_join("subtypes", ",").alias("subtypes"))
 
 
+@query(with_views(f"""{_COMPOSITE}, l AS (SELECT t.*, src_ip || ' ' || query AS pair, dns.us FROM t JOIN (SELECT event_id, us FROM dns) dns USING (event_id)),
+c AS (SELECT * FROM l WHERE (p >= 0.80 OR composite >= 0.75 OR (qtype_name IN ('TXT', 'NULL', 'CNAME') AND (q_len >= 45 OR h >= 3.5)) OR (q_len >= 55 AND h >= 3.8) OR (nx_30 >= 8 AND nx_ratio_30 >= 0.75 AND (p >= 0.6 OR h >= 3.2 OR nx))) AND NOT (({_WHITE}) AND h < 3.8 AND p < 0.70)),
+{cooldown_sql("c", "pair", 5_000_000)}
+SELECT event_id FROM kept WHERE ok""", "dns"))
+def dns_cooldown(spark, d):
+    return detect.detect_dns(telemetry.dns(spark, d)).select("event_id")
+
+
 @query()
 def dns_alerts(spark, d):
     return detect.detect_dns(telemetry.dns(spark, d))
@@ -439,6 +491,17 @@ def tls_anomaly_score(spark, d):
     return detect.tls_scores(telemetry.ssl(spark, d)).select("event_id", "s_cert", "s_alpn", "s_sni", "s_version", "s_cipher", "anomaly", "fronting")
 
 
+@query(with_views(f"""+{_TLS},
+s AS (SELECT *, round(CAST(0.25 * s_cert + 0.20 * s_alpn + 0.20 * s_sni + 0.15 * s_version + 0.20 * s_cipher AS DOUBLE), 4) AS anomaly, ja4 IN ({_WHITELIST}) AS white FROM z),
+m AS (SELECT s.*, coalesce(c.family, v.family) AS family, coalesce(c.severity, v.severity) AS fs, coalesce(c.confidence, v.confidence) AS fc FROM s
+  LEFT JOIN {_families_sql(4)} c(f, family, severity, confidence, technique) ON c.f = s.ja4 LEFT JOIN {_families_sql(5)} v(f, family, severity, confidence, technique) ON v.f = s.ja4s)
+SELECT event_id, CASE WHEN family IS NOT NULL THEN fs WHEN fronting THEN 'HIGH' WHEN anomaly >= 0.85 THEN 'CRITICAL' WHEN anomaly >= 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  CASE WHEN family IS NOT NULL THEN family WHEN fronting THEN 'Domain Fronting / Subject-SNI Mismatch' ELSE 'Heuristic TLS Anomaly / Suspicious Encrypted Flow' END AS detail
+FROM m WHERE (family IS NOT NULL OR fronting OR (anomaly >= 0.65 AND NOT white)) AND NOT (white AND anomaly < 0.85)""", "ssl"))
+def tls_rules(spark, d):
+    return detect.tls_candidates(telemetry.ssl(spark, d)).select("event_id", "found.severity", "found.detail")
+
+
 @query()
 def tls_alerts(spark, d):
     return detect.detect_tls(telemetry.ssl(spark, d))
