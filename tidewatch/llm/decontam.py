@@ -99,7 +99,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     return out.join(found, "_key", "left").select("doc_id", "text", "n_words", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))
 
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WRITTEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  #: words before A-Z are lowered
 
 
 def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_share: float = 0.5) -> DataFrame:
@@ -122,20 +122,13 @@ def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 
 def _taken_apart(body: Column, hit: Column) -> tuple[Column, Column]:
-    """(words of a text, the text without the words at the positions `hit` and what stands between them)."""
+    """(words of a text as they are written, the text without the words at the positions `hit` and what stands between them)."""
     # gaps[i] stands before word i, the last gap after all.
-    low = lower_ascii(body)
-    gaps, spelled = F.split(low, _WORD, -1), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(spelled)), spelled, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
-
-    def step(acc: Column, x: Column) -> Column:
-        is_hit = F.array_contains(hit, acc["i"])
-        size = F.when(~is_hit, x["g"] + x["w"]).when(acc["cut"], F.lit(0)).otherwise(x["g"])
-        kept = F.substring(body, acc["at"] + 1, size)
-        return F.struct((acc["i"] + 1).alias("i"), (acc["at"] + x["g"] + x["w"]).alias("at"), is_hit.alias("cut"), F.concat(acc["out"], F.array(kept)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(False).alias("cut"), F.array().cast("array<string>").alias("out"))
-    return spelled, F.aggregate(lengths, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1)))
+    gaps, spelled = F.split(body, _WRITTEN, -1), F.regexp_extract_all(body, F.lit(_WRITTEN), F.lit(0))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(spelled)), spelled, lambda g, w: F.struct(g.alias("g"), w.alias("w")))
+    is_hit = lambda i: F.array_contains(hit, i)
+    kept = F.transform(pairs, lambda x, i: F.when(~is_hit(i), F.concat(x["g"], x["w"])).when(is_hit(i - 1), F.lit("")).otherwise(x["g"]))
+    return spelled, F.array_join(F.concat(kept, F.array(F.element_at(gaps, -1))), "")
 
 
 def op10_decontamination(spark, sf_dir):
