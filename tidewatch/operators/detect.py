@@ -185,7 +185,7 @@ class Flood:
             self.bad -= self.states[0]
         self.states.append(state in HALF_OPEN)
         self.bad += self.states[-1]
-        return *self.ports(port), *self.rate(us, pkts), round(self.bad / len(self.states), 4)
+        return *self.ports(port), *self.rate(us, pkts), math.floor(self.bad / len(self.states) * 10_000 + 0.5) / 10_000
 
 
 class FloodCooldown:
@@ -248,14 +248,55 @@ def detect_ddos(conn: DataFrame, cooldown: float = 5.0, **limits) -> DataFrame:
 # --- B. Scans: how many ports, hosts and endpoints a source reaches in 10 s --------------------------
 
 
+class Recent:
+    """Rows of the last `span` of time, both ends included; `change` is told of each row that comes (1) or goes (-1)."""
+
+    def __init__(self, span: int):
+        self.span, self.rows = span, deque()
+
+    def __call__(self, at: int, rows: list[tuple]) -> None:
+        for r in rows:
+            self.rows.append((at, r))
+            self.change(r, 1)
+        while self.rows[0][0] < at - self.span:
+            self.change(self.rows.popleft()[1], -1)
+
+    def change(self, row: tuple, by: int) -> None:
+        raise NotImplementedError
+
+
+def _count(counts: Counter, key, by: int) -> None:
+    counts[key] += by
+    if not counts[key]:
+        del counts[key]
+
+
+class RecentScan(Recent):
+    def __init__(self, span: int):
+        super().__init__(span)
+        self.ports, self.hosts, self.endpoints, self.failed = Counter(), Counter(), Counter(), 0
+
+    def change(self, row: tuple, by: int) -> None:
+        port, host, state = row
+        _count(self.ports, port, by)
+        _count(self.hosts, host, by)
+        _count(self.endpoints, (host, port), by)
+        self.failed += by * (state in FAILED)
+
+    def __call__(self, at: int, rows: list[tuple]) -> tuple:
+        super().__call__(at, rows)
+        return len(self.ports), len(self.hosts), len(self.endpoints), self.failed, self.failed / len(self.rows)
+
+
 def scan_counts(conn: DataFrame, seconds: int = 10, approximate: bool = False) -> DataFrame:
     """conn with ports, hosts, endpoints (different ones in the last seconds), failed and failure_ratio."""
+    if not approximate:
+        made = "ports bigint, hosts bigint, endpoints bigint, failed bigint, failure_ratio double"
+        df = ordered.scan_peers(conn, ["src_ip"], "us", ["dst_port", "dst_ip", "conn_state"], made, lambda: RecentScan(seconds * SECOND))
+        return df.withColumn("failure_ratio", F.round("failure_ratio", 4))
     frame = _last_seconds(["src_ip"], seconds)
     endpoint = F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))
-    if approximate:
-        count = lambda c: F.approx_count_distinct(c, 0.0325).over(frame)
-    else:
-        count = lambda c: F.size(F.collect_set(c).over(frame)).cast("long")
+    count = lambda c: F.approx_count_distinct(c, 0.0325).over(frame)
     bad = F.col("conn_state").isin(*FAILED)
     return conn.withColumns({"ports": count("dst_port"), "hosts": count("dst_ip"), "endpoints": count(endpoint), "failed": F.sum(bad.cast("int")).over(frame), "failure_ratio": F.round(_share(bad, frame), 4)})
 
@@ -291,15 +332,34 @@ def detect_scans(conn: DataFrame, cooldown: float = 5.0, **limits) -> DataFrame:
 # --- C. Exfiltration: bytes out against bytes in, over a flow, a minute and five ----------------------
 
 
+class ByteSums(Recent):
+    def __init__(self, span: int):
+        super().__init__(span)
+        self.out = self.back = 0
+
+    def change(self, row: tuple, by: int) -> None:
+        self.out += by * (row[0] or 0)
+        self.back += by * (row[1] or 0)
+
+
+class RecentBytes:
+    """Bytes out and in of the last minute and the last five."""
+
+    def __init__(self):
+        self.sums = ByteSums(60 * SECOND), ByteSums(300 * SECOND)
+
+    def __call__(self, at: int, rows: list[tuple]) -> tuple:
+        for s in self.sums:
+            s(at, rows)
+        return tuple(x for s in self.sums for x in (s.out, s.back))
+
+
 def exfil_windows(conn: DataFrame) -> DataFrame:
-    minute, five = _last_seconds(["src_ip"], 60), _last_seconds(["src_ip"], 300)
+    made = "out_60 bigint, in_60 bigint, out_300 bigint, in_300 bigint"
+    conn = ordered.scan_peers(conn, ["src_ip"], "us", ["orig_bytes", "resp_bytes"], made, RecentBytes)
     seen = Window.partitionBy("src_ip").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     df = conn.withColumns({
         "flow_ratio": scalar.egress_ratio(F.col("orig_bytes"), F.col("resp_bytes")),
-        "out_60": F.sum("orig_bytes").over(minute),
-        "in_60": F.sum("resp_bytes").over(minute),
-        "out_300": F.sum("orig_bytes").over(five),
-        "in_300": F.sum("resp_bytes").over(five),
         "flows_seen": F.count("*").over(seen),
     })
     return df.withColumns({"ratio_60": scalar.egress_ratio(F.col("out_60"), F.col("in_60")), "mbps_60": scalar.egress_mbps(F.col("out_60")), "ratio_300": scalar.egress_ratio(F.col("out_300"), F.col("in_300"))})
@@ -341,15 +401,28 @@ def detect_exfil(conn: DataFrame, cooldown: float = 10.0, **limits) -> DataFrame
 # --- D. Generated domains and DNS tunnels ------------------------------------------------------------
 
 
+class RecentFailures(Recent):
+    def __init__(self, span: int):
+        super().__init__(span)
+        self.failed = 0
+
+    def change(self, row: tuple, by: int) -> None:
+        self.failed += by * (row[0] == "NXDOMAIN")
+
+    def __call__(self, at: int, rows: list[tuple]) -> tuple:
+        super().__call__(at, rows)
+        return len(self.rows), self.failed, self.failed / len(self.rows)
+
+
 def dns_features(dns: DataFrame) -> DataFrame:
     """dns with what the rules look at: subdomain, entropies, lengths, p, and queries and failures in the last 30 s (counted before any whitelist)."""
-    frame = _last_seconds(["src_ip"], 30)
     failed = F.col("rcode_name") == "NXDOMAIN"
     # Scores of names are of the name alone: each different name is scored once and joined back.
     names = dns.select("query").distinct().withColumns({"subdomain": scalar.subdomain("query"), "benign_name": scalar.is_benign_domain("query")})
     names = scalar.with_dga_score(names, "query")
     names = names.withColumn("subdomain_entropy", scalar.shannon_entropy("subdomain"))
-    df = dns.withColumns({"queries_30": F.count("*").over(frame), "nx_30": F.sum(failed.cast("int")).over(frame), "nx_ratio_30": F.round(_share(failed, frame), 4)})
+    df = ordered.scan_peers(dns, ["src_ip"], "us", ["rcode_name"], "queries_30 bigint, nx_30 bigint, nx_ratio_30 double", lambda: RecentFailures(30 * SECOND))
+    df = df.withColumn("nx_ratio_30", F.round("nx_ratio_30", 4))
     return df.join(names, "query", "left").withColumns({"q_len": F.length("query"), "sub_len": F.length("subdomain"), "is_nx": failed})
 
 

@@ -50,3 +50,55 @@ def kept(df: DataFrame, key: list[str], order: list[str], needs: list[str], new_
     while flag in df.columns:
         flag = "_" + flag
     return scan(df, key, order, needs, f"`{flag}` boolean", new_state).where(f"`{flag}`").drop(flag)
+
+
+def scan_peers(df: DataFrame, key: list[str], at: str, needs: list[str], made: str, new_state: Callable[[], Callable[[int, list], tuple]]) -> DataFrame:
+    """As scan, for rows of one key and time together, as a RANGE frame counts them: the state gets (time, rows) and gives what all of them get.
+
+    Windows of time then cost what comes and goes at a row, not all that they hold.
+    """
+    added = StructType.fromDDL(made)
+    schema = StructType([*df.schema.fields, *added.fields])
+    sent = df.repartition(*key).sortWithinPartitions(*key, at)
+    places = [df.columns.index(c) for c in (*key, at, *needs)]
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+    names, width = schema.names, len(key) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        held: list[pa.RecordBatch] = []  #: the rows of the last key and time so far, which may go on in the next batch
+
+        def groups(table: pa.Table, whole: bool) -> tuple[int, list]:
+            nonlocal last, state
+            rows = list(zip(*(table.column(i).to_pylist() for i in places), strict=True))
+            out: list = []
+            begin = 0
+            for i in range(1, len(rows) + 1):
+                if i == len(rows) and not whole:
+                    break
+                if i == len(rows) or rows[i][:width] != rows[begin][:width]:
+                    k = rows[begin][: width - 1]
+                    if k != last:
+                        last, state = k, new_state()
+                    out += [state(rows[begin][width - 1], [r[width:] for r in rows[begin:i]])] * (i - begin)
+                    begin = i
+            return begin, out
+
+        def finished(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            table = pa.Table.from_batches(held)
+            n, out = groups(table, whole)
+            if n:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                done = table.slice(0, n).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in done.columns), *columns], names=names)
+            held = table.slice(n).combine_chunks().to_batches()
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                yield from finished(False)
+        if held:
+            yield from finished(True)
+
+    return sent.mapInArrow(run, schema)
