@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.tables import hash_side, table, written
+from tidewatch.llm.tables import arrow_map, hash_side, table, written
 from tidewatch.llm.words import chunks, mix, scan, windows
 
 _TOKEN = np.uint64((1 << 52) - 1)
@@ -257,7 +257,7 @@ def _marked(df: DataFrame, node: str, nodes: DataFrame, bits: int) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_in_bitmap(bitmap.value, b.column(at).to_numpy(), bits)))
 
-    return df.mapInArrow(run, df.schema)
+    return arrow_map(df, run, df.schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -276,7 +276,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
             ok = pa.array([similar(join, *(c[i].as_py() for c in b.columns[2:])) for i in range(b.num_rows)], pa.bool_())
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    return both.select("a", "b", "n_a", "n_b", "whole_a", "whole_b", "other_a", "other_b").mapInArrow(run, "a long, b long")
+    return arrow_map(both.select("a", "b", "n_a", "n_b", "whole_a", "whole_b", "other_a", "other_b"), run, "a long, b long")
 
 
 # --- Components ------------------------------------------------------------------------------------
@@ -363,17 +363,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = written(source.mapInArrow(_first_pass(join), _FIRST), "sizes")
+    first = written(arrow_map(source, _first_pass(join), _FIRST), "sizes")
     rows = first.where(F.col("node").isNotNull()).select("doc_id", "n", "node")
     classes = spark.sparkContext.broadcast(classes_of(_sketch(first, join)))
-    prefixes = source.select("text").mapInArrow(_second_pass(join, classes), _PREFIX)
+    prefixes = arrow_map(source.select("text"), _second_pass(join, classes), _PREFIX)
     tokens = written(_shared_tokens(prefixes), "tokens")
     alone = F.col("node").alias("comp")
     small, large = tokens.where(F.col("m") <= join.few).select("*", alone), tokens.where(F.col("m") > join.few)
     pairs = written(_rest(small, join).union(_star(large.select("*", alone), join)).distinct(), "pairs")
     candidates = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node"))
     bitmap = spark.sparkContext.broadcast(bytes(_bitmap(candidates, join.bitmap_bits)))
-    sets = source.select("text").mapInArrow(_third_pass(join, classes, bitmap), _SET)
+    sets = arrow_map(source.select("text"), _third_pass(join, classes, bitmap), _SET)
     sets = written(sets.dropDuplicates(["node"]), "sets")
     comps = components(written(_verified(pairs, sets, join), "found"))
     for n in range(join.star_rounds + 1):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import table, text_or_empty
+from tidewatch.llm.tables import arrow_map, table, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     chosen = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     kind = chosen.schema["doc_id"].dataType
     schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"{f} long" for f in FIELDS)
-    return chosen.mapInArrow(_packer(tokenizer, size, end_id, to_arrow_type(kind)), schema)
+    return arrow_map(chosen, _packer(tokenizer, size, end_id, to_arrow_type(kind)), schema)
 
 
 def default_tokenizer() -> str:

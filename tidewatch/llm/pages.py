@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import table
+from tidewatch.llm.tables import arrow_map, table
 from tidewatch.llm.urls import host_of
 
 # Element names by what they do to the text, and names that classes and ids give to what isn't the article.
@@ -216,7 +216,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", rule: Recu
 
     source = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).cast("string").alias("html"))
     # Both counts group by a host and a hash first, so a host with a third of all pages is spread out.
-    seen = source.mapInArrow(read, _SEEN).distinct().groupBy("host", "subtree").count()
+    seen = arrow_map(source, read, _SEEN).distinct().groupBy("host", "subtree").count()
     hosts = source.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n"))
     return seen.where(F.col("count") >= rule.pages).join(hosts, "host").where(F.col("count") >= rule.share * F.col("n")).select("host", "subtree")
 
@@ -238,7 +238,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     kind = source.schema["page_id"].dataType.simpleString()
-    done = source.mapInArrow(read, f"page_id {kind}, url string, {_READ}")
+    done = arrow_map(source, read, f"page_id {kind}, url string, {_READ}")
     told = lambda blocks: F.array_join(F.transform(blocks, lambda x: x["text"]), " ")
     with_article = done.where("has_main").select("page_id", "url", told("blocks").alias("text"))
     rest = done.where(~F.col("has_main")).withColumns({"_host": host_of(F.col("url")), "_row": F.xxhash64("page_id", "url", F.to_json("blocks"))})

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.llm.tables import fresh, table
+from tidewatch.llm.tables import arrow_map, fresh, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -384,7 +384,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", carry: list[str] | N
     schema = StructType(sent.schema.fields[:-1])
     for name in results:
         schema = schema.add(name, "long" if name.startswith("n_") else "string")
-    return sent.mapInArrow(run, schema)
+    return arrow_map(sent, run, schema)
 
 
 def op9_personal_data(spark, sf_dir):

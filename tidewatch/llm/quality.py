@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.llm.tables import fresh, hash_share, table
+from tidewatch.llm.tables import arrow_map, fresh, hash_share, table
 from tidewatch.llm.words import chunks, scan
 
 PASSAGE = 64
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 bags.append(x[keep].astype(np.float32).tobytes())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(bags, pa.binary())], ["h", "label", "bag"])
 
-    got = rows.mapInArrow(reduce, "h long, label int, bag binary").toPandas().sort_values(["h", "bag"], ignore_index=True)
+    got = arrow_map(rows, reduce, "h long, label int, bag binary").toPandas().sort_values(["h", "bag"], ignore_index=True)
     if got.label.nunique() < 2:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, 12 + HASHED).astype(float) for b in got.bag]
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Attention | None, text: str = "text", carry: l
                 p = np.concatenate([np.zeros(0), *(model.scores(*passages(raw)) for _, raw in chunks(b.column(b.num_columns - 1)))])
             yield pa.record_batch([*b.columns[:-1], pa.array(p, pa.float64())], [*b.schema.names[:-1], result])
 
-    return sent.mapInArrow(run, StructType(sent.schema.fields[:-1]).add(result, "double"))
+    return arrow_map(sent, run, StructType(sent.schema.fields[:-1]).add(result, "double"))
 
 
 PREDICT_FROM = 0.3

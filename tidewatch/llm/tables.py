@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,22 @@ def hash_side(df: DataFrame, cells: Column | None = None, most: int = 500_000) -
     """A written table as the hash side of a join with a far larger one: broadcast if its rows, or the sum of `cells`, are at most `most`, which is counted first; else dealt by hash beside it, so that the larger side isn't sorted."""
     n = df.agg(F.sum(cells)).first()[0] if cells is not None else df.count()
     return F.broadcast(df) if (n or 0) <= most else df.hint("shuffle_hash")
+
+
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in small batches, whose workers give memory back when a task ends; they are reused, and would else keep what the largest task of any job took."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(lean, schema)
