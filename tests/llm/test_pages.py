@@ -34,5 +34,19 @@ def test_templates_of_a_host_go(spark):
     assert said[200] == ["z"] and said[201] == ["", ""] and said[None] == [""]
 
 
+def test_templates_inside_articles_go(spark):
+    promo = "<div class=x7><p>Read our other stories</p></div>"
+    rows = [(i, f"http://a.org/{i}", f"<body><div id=w><main>{promo}<article><p>Story number {i} is here</p></article></main></div></body>") for i in range(20)]
+    # One article on many pages is no template of itself, nor is what three articles of twenty quote.
+    rows += [(100 + i, f"http://b.org/{i}", f"<body><p>visit {i}</p><article><p>one and the same</p></article></body>") for i in range(20)]
+    rows += [(200 + i, f"http://c.org/{i}", f"<article><p>own words {i}</p>{'<p>a quotation</p>' if i < 3 else ''}</article>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most_sent in (1000, 0):
+        said = {r.page_id: r.text for r in extract(df, most_sent=most_sent).collect()}
+        assert all(said[i] == f"Story number {i} is here" for i in range(20))
+        assert all(said[100 + i] == "one and the same" for i in range(20))
+        assert all(said[200 + i] == f"own words {i}" + " a quotation" * (i < 3) for i in range(20))
+
+
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

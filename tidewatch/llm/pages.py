@@ -1,8 +1,8 @@
 """Main text of web pages, with the site's own template removed.
 
-Every element outside the article is hashed with all it holds; Spark counts the different pages of a host
-that hold each subtree, and those that recur across many go. What names itself a menu, footer, advert and
-so on goes on any page.
+Every element is hashed with all it holds; Spark counts the different pages of a host that hold each subtree
+(in an article, the different articles), and those that recur across many go. What names itself a menu,
+footer, advert and so on goes on any page.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import arrow_map, table
+from tidewatch.llm.tables import arrow_map, table, written
 from tidewatch.llm.urls import host_of
 
 # Element names by what they do to the text, and names that classes and ids give to what isn't the article.
@@ -116,53 +117,52 @@ def tree(page: str) -> Node:
     return root
 
 
-def _has_main(node: Node) -> bool:
-    return any(isinstance(p, Node) and (p.main and not p.dropped or _has_main(p)) for p in node.parts)
-
-
 @dataclass
 class Page:
     blocks: list  #: (text, hashes of the elements around it) in page order
     subtrees: list  #: hashes of all elements outside the article
-    has_main: bool
+    inside: list  #: hashes of the article's elements around its blocks
+    article: int | None  #: a hash of the article's text; None without an article
 
 
 def parsed(page: str | None) -> Page:
     root = tree(page or "")
-    has_main = _has_main(root)
     blocks, subtrees = [], []
     held: list[str] = []
 
     def digest(node: Node) -> bytes:
         own = hashlib.blake2b(f"<{node.tag} {node.attributes}>".encode("utf-8", "replace"), digest_size=8)
         for p in node.parts:
-            own.update(p.encode("utf-8", "replace") if isinstance(p, str) else hashes[id(p)])
+            own.update(p.encode("utf-8", "replace") if isinstance(p, str) else main_digest if p.main and not node.main else hashes[id(p)])
         return own.digest()
 
     hashes: dict[int, bytes] = {}
 
-    def flush(around: tuple) -> None:
+    def flush(around: tuple | None) -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            blocks.append((text, around))
+            out = []
+            while around:
+                own, around = around
+                out.append(own)
+            blocks.append((text, out))
 
     # Depth first without recursion, as pages nest as deep as they like: hashes on the way out.
     order, todo = [], [root]
     while todo:
         node = todo.pop()
-        if not node.main:
-            order.append(node)
-            todo += [p for p in node.parts if isinstance(p, Node)]
+        order.append(node)
+        todo += [p for p in node.parts if isinstance(p, Node)]
+    has_main = any(n.main and not n.dropped for n in order)
+    # What surrounds an article is the same whatever the article is.
     main_digest = hashlib.blake2b(b"main", digest_size=8).digest()
     for node in reversed(order):
-        for p in node.parts:
-            if isinstance(p, Node) and p.main:
-                hashes[id(p)] = main_digest
         hashes[id(node)] = digest(node)
-        if node.tag not in ("#root", "html", "body") and not any(isinstance(p, Node) and p.main for p in node.parts):
+        if not node.main and node.tag not in ("#root", "html", "body") and not any(isinstance(p, Node) and p.main for p in node.parts):
             subtrees.append(int.from_bytes(hashes[id(node)], "little", signed=True))
-    walk: list = [(root, iter(root.parts), ())]
+    # The elements around a block are a chain (hash, the chain outside it), which deep pages share.
+    walk: list = [(root, iter(root.parts), None)]
     while walk:
         node, parts, around = walk[-1]
         p = next(parts, None)
@@ -180,13 +180,16 @@ def parsed(page: str | None) -> Page:
                 held.append(" ")
         else:
             inner = around
-            if not p.main and p.tag not in ("html", "body"):
-                inner = (*around, int.from_bytes(hashes[id(p)], "little", signed=True))
+            if p.main == has_main and p.tag not in ("html", "body"):
+                inner = (int.from_bytes(hashes[id(p)], "little", signed=True), around)
             if p.tag in BLOCKS:
                 flush(around)
             walk.append((p, iter(p.parts), inner))
-    flush(())
-    return Page(blocks, subtrees, has_main)
+    flush(None)
+    if not has_main:
+        return Page(blocks, subtrees, [], None)
+    text = hashlib.blake2b(" ".join(t for t, _ in blocks).encode("utf-8", "replace"), digest_size=8).digest()
+    return Page(blocks, subtrees, [*{h for _, around in blocks for h in around}], int.from_bytes(text, "little", signed=True))
 
 
 @dataclass(frozen=True)
@@ -197,56 +200,85 @@ class Recurring:
     share: float = 0.2
 
 
-_SEEN = "host string, page long, subtree long"
-_READ = "blocks array<struct<text:string,around:array<long>>>, has_main boolean"
+_SEEN = "host string, inside boolean, page long, subtree long"
+_READ = "blocks array<struct<text:string,around:array<long>>>"
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", rule: Recurring = Recurring()) -> DataFrame:
-    """(host, subtree) of what recurs. Exact copies of a page count once, so a copied page is no template of itself."""
+    """(host, subtree) of what recurs: outside articles on different pages, inside them in articles of different text.
+
+    So neither a copied page nor an article that stands on many pages is a template of itself.
+    """
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            hosts, pages_, trees = [], [], []
+            rows: list[tuple] = []
             for host, h, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for s in {*parsed(page).subtrees}:
-                    hosts.append(host)
-                    pages_.append(h)
-                    trees.append(s)
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(trees, pa.int64())], ["host", "page", "subtree"])
+                own = parsed(page)
+                rows += [(host, False, h, s) for s in {None, *own.subtrees}]
+                if own.article is not None:
+                    rows += [(host, True, own.article, s) for s in (None, *own.inside)]
+            columns = zip(*rows) if rows else ([], [], [], [])
+            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "inside", "page", "subtree"])
 
     source = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(html).alias("page"), F.col(html).cast("string").alias("html"))
-    # Both counts group by a host and a hash first, so a host with a third of all pages is spread out.
-    seen = arrow_map(source, read, _SEEN).distinct().groupBy("host", "subtree").count()
-    hosts = source.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n"))
-    return seen.where(F.col("count") >= rule.pages).join(hosts, "host").where(F.col("count") >= rule.share * F.col("n")).select("host", "subtree")
+    # Rows without a subtree count pages and articles. Counts group by a host and a hash first, so a host with a third of all pages is spread out.
+    seen = written(arrow_map(source, read, _SEEN).distinct().groupBy("host", "inside", "subtree").count().where((F.col("count") >= rule.pages) | F.col("subtree").isNull()), "seen")
+    of = seen.where(F.col("subtree").isNull()).select("host", "inside", F.col("count").alias("n"))
+    found = seen.where(F.col("subtree").isNotNull() & (F.col("count") >= rule.pages)).join(of, ["host", "inside"])
+    return found.where(F.col("count") >= rule.share * F.col("n")).select("host", "subtree").distinct()
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rule: Recurring = Recurring()) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rule: Recurring = Recurring(), most_sent: int = 1_000_000) -> DataFrame:
     """page_id, url and text of every row, text being the article's blocks joined by spaces.
 
     The article is what stands in article or main elements, or the whole body where there are
-    none; only there can a template matter, and those pages alone meet the host's templates. Null
-    and empty pages have an empty text; a null url has an empty host; pages of any length are read
-    whole; repeated rows come out alike; an empty table gives an empty one.
+    none, without the host's templates. Up to `most_sent` templates are sent to all tasks (8 bytes
+    each); more are joined. Null and empty pages have an empty text; a null url has an empty host;
+    pages of any length are read whole; repeated rows come out alike; an empty table gives an empty one.
     """
+    source = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    kind = source.schema["page_id"].dataType.simpleString()
+    gone = written(templates(pages, url, html, rule), "templates")
+    if gone.count() > most_sent:
+        return _joined(source, kind, gone)
+    pair = F.xxhash64("host").bitwiseXOR(F.col("subtree")).alias("pair")
+    sent = source.sparkSession.sparkContext.broadcast(np.sort(gone.select(pair).toArrow().column(0).to_numpy()))
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
         for b in parts:
-            own = [parsed(x) for x in b.column(b.num_columns - 1).to_pylist()]
-            blocks = pa.array([[{"text": t, "around": list(a)} for t, a in p.blocks] for p in own], pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))
-            yield pa.record_batch([*b.columns[:-1], blocks, pa.array([p.has_main for p in own], pa.bool_())], [*b.schema.names[:-1], "blocks", "has_main"])
+            texts = []
+            for host, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                blocks = parsed(page).blocks
+                around = np.fromiter({h for _, a in blocks for h in a}, np.int64)
+                pairs = around ^ np.int64(host)
+                at = np.searchsorted(known, pairs)
+                hit = known[np.minimum(at, len(known) - 1)] == pairs if len(known) else np.zeros(len(pairs), bool)
+                drop = set(around[hit].tolist())
+                texts.append(" ".join(t for t, a in blocks if drop.isdisjoint(a)))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    hashed = source.select("page_id", "url", F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
+    return arrow_map(hashed, read, f"page_id {kind}, url string, text string")
+
+
+def _joined(source: DataFrame, kind: str, gone: DataFrame) -> DataFrame:
+    """The same for any number of templates."""
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            blocks = [[{"text": t, "around": a} for t, a in parsed(x).blocks] for x in b.column(2).to_pylist()]
+            made = pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))
+            yield pa.record_batch([*b.columns[:-1], made], [*b.schema.names[:-1], "blocks"])
 
-    source = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    kind = source.schema["page_id"].dataType.simpleString()
     done = arrow_map(source, read, f"page_id {kind}, url string, {_READ}")
-    told = lambda blocks: F.array_join(F.transform(blocks, lambda x: x["text"]), " ")
-    with_article = done.where("has_main").select("page_id", "url", told("blocks").alias("text"))
-    rest = done.where(~F.col("has_main")).withColumns({"_host": host_of(F.col("url")), "_row": F.xxhash64("page_id", "url", F.to_json("blocks"))})
-    around = rest.select("_row", F.col("_host").alias("host"), F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda x: x["around"])))).alias("subtree")).distinct()
-    gone = around.join(templates(pages, url, html, rule), ["host", "subtree"]).groupBy("_row").agg(F.collect_set("subtree").alias("_gone"))
-    rest = rest.join(gone, "_row", "left")
+    done = written(done.withColumns({"_host": host_of(F.col("url")), "_row": F.xxhash64("page_id", "url", F.to_json("blocks"))}), "blocks")
+    around = done.select("_row", F.col("_host").alias("host"), F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda x: x["around"])))).alias("subtree")).distinct()
+    found = around.join(gone, ["host", "subtree"]).groupBy("_row").agg(F.collect_set("subtree").alias("_gone"))
     left = F.filter("blocks", lambda x: ~F.arrays_overlap(x["around"], F.coalesce("_gone", F.array().cast("array<long>"))))
-    return with_article.unionByName(rest.select("page_id", "url", told(left).alias("text")))
+    return done.join(found, "_row", "left").select("page_id", "url", F.array_join(F.transform(left, lambda x: x["text"]), " ").alias("text"))
 
 
 def op6_html_extraction(spark, sf_dir):
