@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the least id."""
-    return jaccard.one_of_each(docs)
+    """Of each component of documents that share 80 % of their runs of five words, the one with the least id."""
+    return jaccard.one_of_each(docs, join=jaccard.Join(words=5, percent=80))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

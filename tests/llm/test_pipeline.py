@@ -47,3 +47,15 @@ def test_stages_decide_and_keep_clean_documents(spark, folder):
     out = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == kept - {60, 61}
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    a = [f"w{i}" for i in range(96)]
+    # Two words changed: 82 of 102 runs of five words are shared, but 85 of 101 runs of four; three: 77 of 107 of five.
+    b, c = list(a), list(a)
+    for w, places in ((b, (30, 60)), (c, (20, 50, 80))):
+        for k in places:
+            w[k] = "changed"
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
