@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixed, scalar
 from tidewatch.operators import detect
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import ORACLES, query
 from tidewatch.sources import logs, telemetry
 from tidewatch.sources.telemetry import with_views
 
@@ -226,6 +226,16 @@ def ddos_entropy_rows(spark, d):
     return detect.port_entropy(telemetry.conn(spark, d), 100).select("dst_ip", "event_id", "port_entropy", "normalized_entropy")
 
 
+def _whole_window(name: str) -> str:
+    """The SQL of a query over the last 100 flows of a target, for the last 500 that the detector looks at."""
+    return ORACLES[name].replace("BETWEEN 99 PRECEDING", "BETWEEN 499 PRECEDING")
+
+
+@query(_whole_window("ddos_entropy_rows"))
+def ddos_entropy_rows_500(spark, d):
+    return detect.port_entropy(telemetry.conn(spark, d)).select("dst_ip", "event_id", "port_entropy", "normalized_entropy")
+
+
 @query(with_views("SELECT dst_ip, event_id, round(avg(CASE WHEN conn_state IN ('S0', 'REJ', 'RSTOS0') THEN 1 ELSE 0 END) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 4) AS half_open_ratio FROM conn", "conn"))
 def ddos_syn_ratio(spark, d):
     return detect.half_open(telemetry.conn(spark, d)).select("dst_ip", "event_id", "half_open_ratio")
@@ -284,6 +294,12 @@ def ddos_rules(spark, d):
     return df.select("dst_ip", "event_id", "found.threat_class", "found.severity", "found.confidence")
 
 
+@query(_whole_window("ddos_rules"))
+def ddos_rules_500(spark, d):
+    df = detect.ddos_candidates(telemetry.conn(spark, d), high=40.0, low=20.0, half_open_least=0.50)
+    return df.select("dst_ip", "event_id", "found.threat_class", "found.severity", "found.confidence")
+
+
 @query()
 def ddos_alerts(spark, d):
     return detect.detect_ddos(telemetry.conn(spark, d), high=40.0, low=20.0)
