@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -34,6 +36,15 @@ def test_held_out_rows_are_ranked(spark):
     assert min(r.score for r in held if r.doc_id % 4) > max(r.score for r in held if r.doc_id % 4 == 0)
 
 
+def test_fit_sees_all_passages_of_a_document(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda x, of, label: seen.update(n=np.bincount(of).tolist()))
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:2]
+    df = spark.createDataFrame([(ids[0], prose(64 * 200)), (ids[1], prose(64 * 3))], "doc_id long, text string")
+    quality.fit(df, spark.createDataFrame([(ids[0], 0), (ids[1], 1)], "doc_id long, quality int"))
+    assert sorted(seen["n"]) == [3, 200]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, prose(50_000))], "doc_id long, text string")
     assert quality.fit(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) is None

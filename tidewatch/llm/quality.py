@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatch.llm.tables import arrow_map, fresh, hash_share, table
+from tidewatch.llm.tables import arrow_map, fresh, hash_share, table, written
 from tidewatch.llm.words import chunks, scan
 
 PASSAGE = 64
@@ -150,8 +150,8 @@ def train(x: np.ndarray, of: np.ndarray, label: np.ndarray, steps: int = 150, ra
 
 #: Labelled documents that the model is fitted to, about: those with the least hashes of their id.
 MOST_LABELLED = 3000
-#: Passages of a labelled document that the fit sees, evenly spaced over it, at most; scoring sees all.
-MOST_FITTED_PASSAGES = 64
+#: Passages that the fit sees, about, if those documents have more: whole documents are left out then.
+MOST_FITTED_PASSAGES = 64 * MOST_LABELLED
 
 
 def held_out(doc_id: Column) -> Column:
@@ -173,14 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for b in batches:
             x, of = all_passages(b.column(2))
             cut = np.searchsorted(of, np.arange(b.num_rows + 1))
-            bags = []
-            for i in range(b.num_rows):
-                n = cut[i + 1] - cut[i]
-                keep = cut[i] + np.unique(np.linspace(0, n - 1, min(n, MOST_FITTED_PASSAGES)).astype(int))
-                bags.append(x[keep].astype(np.float32).tobytes())
+            bags = [x[i:j].astype(np.float32).tobytes() for i, j in zip(cut[:-1], cut[1:])]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(bags, pa.binary())], ["h", "label", "bag"])
 
-    got = arrow_map(rows, reduce, "h long, label int, bag binary").toPandas().sort_values(["h", "bag"], ignore_index=True)
+    fitted = written(arrow_map(rows, reduce, "h long, label int, bag binary"), "bags")
+    there = fitted.agg(F.count("*").alias("n"), F.sum(F.length("bag")).alias("size")).first()
+    found = (there.size or 0) // (4 * (12 + HASHED))
+    if found > MOST_FITTED_PASSAGES:
+        fitted = fitted.where(hash_share(F.col("h"), there.n * MOST_FITTED_PASSAGES // found, there.n))
+    got = fitted.toPandas().sort_values(["h", "bag"], ignore_index=True)
     if got.label.nunique() < 2:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, 12 + HASHED).astype(float) for b in got.bag]
