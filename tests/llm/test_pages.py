@@ -48,5 +48,11 @@ def test_templates_inside_articles_go(spark):
         assert all(said[200 + i] == f"own words {i}" + " a quotation" * (i < 3) for i in range(20))
 
 
+def test_menus_of_a_section_of_a_large_host_go(spark):
+    rows = [(i, f"http://a.org/{i}", f"<article>{'<p>Section menu</p>' if i < 50 else ''}{'<p>Rare</p>' if i >= 260 else ''}<p>words {i}</p></article>") for i in range(300)]
+    said = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(said[i] == ("Rare " if i >= 260 else "") + f"words {i}" for i in range(300))
+
+
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

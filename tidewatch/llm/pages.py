@@ -194,10 +194,11 @@ def parsed(page: str | None) -> Page:
 
 @dataclass(frozen=True)
 class Recurring:
-    """A subtree belongs to the site's template if it stands on so many different pages of its host, and on so large a share of them."""
+    """A subtree belongs to the site's template if it stands on so many different pages of its host, and on so large a share of them or on `enough`."""
 
     pages: int = 5
     share: float = 0.2
+    enough: int = 48
 
 
 _SEEN = "host string, inside boolean, page long, subtree long"
@@ -227,7 +228,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", rule: Recu
     seen = written(arrow_map(source, read, _SEEN).distinct().groupBy("host", "inside", "subtree").count().where((F.col("count") >= rule.pages) | F.col("subtree").isNull()), "seen")
     of = seen.where(F.col("subtree").isNull()).select("host", "inside", F.col("count").alias("n"))
     found = seen.where(F.col("subtree").isNotNull() & (F.col("count") >= rule.pages)).join(of, ["host", "inside"])
-    return found.where(F.col("count") >= rule.share * F.col("n")).select("host", "subtree").distinct()
+    return found.where(F.col("count") >= F.least(rule.share * F.col("n"), F.lit(float(rule.enough)))).select("host", "subtree").distinct()
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rule: Recurring = Recurring(), most_sent: int = 1_000_000) -> DataFrame:
