@@ -8,15 +8,17 @@ must share prefix tokens under the other orders as well before the whole sets ar
 How common a token is comes from a sketch of counts of fixed size over all texts. Any order loses no
 pair; a good one keeps the tokens that many texts share out of the prefixes.
 
-A token that a few texts share gives all their pairs at once. Dense groups aren't expanded: in each of a
-few rounds, the texts that share a token are compared with the one among them that has the fewest rarer
-tokens; what links becomes one component, and only tokens that still join different components go on. The
-last round compares what is left, across components only. So no link between different components is
-lost, and no pair within one is looked at.
+A token that a few texts share gives all their pairs at once, in the task that all its rows meet in. A token
+that may be common, by the sketch, is dealt out over many tasks from the start. Dense groups aren't expanded:
+in each of a few rounds, the texts that share a token are compared with the one among them that has the
+fewest rarer tokens; what links becomes one component, and only tokens that still join different components
+go on. The last round compares what is left, across components and among texts of fitting sizes only. So no
+link between different components is lost, and no pair within one is looked at.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +28,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidewatch.llm.tables import arrow_map, hash_side, table, written
+from tidewatch.llm.tables import MOST_SENT, arrow_map, dropped, fresh, hash_side, table, written
 from tidewatch.llm.words import chunks, mix, scan, windows
 
 _TOKEN = np.uint64((1 << 52) - 1)
@@ -42,9 +43,11 @@ class Join:
     percent: int = 85  #: least similarity
     sketch_bits: int = 20  #: the sketch has 2 ** sketch_bits counts, 4 bytes each
     bitmap_bits: int = 26  #: bits that mark texts with candidates
-    star_rounds: int = 2
+    star_rounds: int = 1  #: rounds of stars after the first
     few: int = 16  #: texts that share a token, up to which all their pairs are tried
+    together: int = 1024  #: rows of a token up to which they meet in one task; by the sketch, and 8 times its mean if that is more
     partners: int = 256  #: partners of one text that go to a task, about
+    links: int = MOST_SENT  #: links up to which one task finds all components
 
     def prefix(self, n):
         return n - (self.percent * n + 99) // 100 + 1
@@ -107,13 +110,19 @@ def ordered(s: Sets, classes: np.ndarray, bits: int, order: int) -> np.ndarray:
 
 
 def classes_of(sketch: np.ndarray) -> np.ndarray:
-    return np.minimum(1023, 40 * np.log2(1 + sketch.astype(float))).astype(np.uint64)
+    return np.minimum(1023, 32 * np.log2(1 + sketch.astype(float))).astype(np.uint64)
+
+
+def heavy_from(sketch: np.ndarray, join: Join) -> int:
+    """The class from which a token may have too many rows for one task. Counts of the sketch are never too low, so no other token has."""
+    most = np.array([max(join.together, 8 * float(sketch.mean()))])
+    return min(1023, int(classes_of(most)[0]) + 1)
 
 
 # --- First pass: sizes, set hashes, sketch ---------------------------------------------------------
 
 _CHUNK = 1 << 16
-_FIRST = "doc_id long, n long, node long, part int, piece int, counts binary"
+_FIRST = "doc_id long, row long, n long, node long, part int, piece int, counts binary"
 
 
 def _first_pass(join: Join):
@@ -125,19 +134,19 @@ def _first_pass(join: Join):
         size = 1 << join.sketch_bits
         sketch, some = np.zeros(size, np.int64), False
         for b in batches:
-            ids = b.column(0)
-            for at, raw in _chunks(b.column(1)):
+            ids, rows = b.column(0), b.column(1)
+            for at, raw in _chunks(b.column(2)):
                 some = True
                 s = sets_of(raw, join.words)
                 sketch += np.bincount(bucket_of(s.tokens, join.sketch_bits), minlength=size)
                 m = len(raw)
                 empty = pa.nulls(m, pa.int32())
-                yield pa.record_batch([ids.slice(at, m), pa.array(s.n), pa.array(s.node), empty, empty, pa.nulls(m, pa.binary())], names)
+                yield pa.record_batch([ids.slice(at, m), rows.slice(at, m), pa.array(s.n), pa.array(s.node), empty, empty, pa.nulls(m, pa.binary())], names)
         if some:
             step, part = min(_CHUNK, size), TaskContext.get().partitionId()
             pieces = [zlib.compress(np.minimum(sketch[i : i + step], 2**31 - 1).astype("<i4").tobytes(), 1) for i in range(0, size, step)]
             k = len(pieces)
-            yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([part] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(pieces, pa.binary())], names)
+            yield pa.record_batch([*[pa.nulls(k, pa.int64())] * 4, pa.array([part] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(pieces, pa.binary())], names)
 
     return run
 
@@ -165,10 +174,12 @@ def _sketch(rows: DataFrame, join: Join) -> np.ndarray:
 
 # --- Second pass: prefixes -------------------------------------------------------------------------
 
-_PREFIX = "token long, node long, n int, pos int"
+#: token has, above its 52 bits, a number from 1 if it is heavy: its rows are dealt out by it. detail is n and the token's position.
+_PREFIX = "token long, node long, detail long"
+_SALTS = np.uint64(2047)
 
 
-def _second_pass(join: Join, classes):
+def _second_pass(join: Join, classes, heavy: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
@@ -182,15 +193,80 @@ def _second_pass(join: Join, classes):
                 tokens = ordered(s, classes.value, join.sketch_bits, 0)
                 pos = np.arange(len(tokens)) - np.repeat(np.cumsum(s.n) - s.n, s.n)
                 keep = (pos < np.repeat(join.prefix(s.n), s.n)) & np.repeat(new, s.n)
-                of = s.doc[keep]
-                yield pa.record_batch([pa.array(tokens[keep].view(np.int64)), pa.array(s.node[of]), pa.array(s.n[of].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["token", "node", "n", "pos"])
+                of, token = s.doc[keep], tokens[keep]
+                node, detail = s.node[of], (s.n[of] << 32) | pos[keep]
+                salt = np.where(token >> np.uint64(42) >= heavy, np.uint64(1) + node.view(np.uint64) % _SALTS, np.uint64(0))
+                yield pa.record_batch([pa.array((token | (salt << np.uint64(52))).view(np.int64)), pa.array(node), pa.array(detail)], ["token", "node", "detail"])
+
+    return run
+
+
+_MET = "token long, a long, b long, n int, pos int"
+_AT_ONCE = 50_000
+
+
+def _passes_np(join: Join, n_a, pos_a, n_b, pos_b):
+    most = np.minimum(n_a - pos_a, n_b - pos_b)
+    return join.enough(most, n_a, n_b) & (join.percent * np.maximum(n_a, n_b) <= 100 * np.minimum(n_a, n_b))
+
+
+def met(join: Join, token: np.ndarray, node: np.ndarray, detail: np.ndarray) -> pa.RecordBatch:
+    """Of whole groups of rows sorted by token and node: pairs (a, b) of tokens that few texts have, and rows (token, a, n, pos) of the others."""
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node, detail = token[new], node[new], detail[new]
+    n, pos = detail >> 32, detail & 0xFFFFFFFF
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(token)), bool), token[1:] != token[:-1])))
+    m = np.diff(np.append(start, len(token)))
+    many = np.repeat(m, m)
+    salted = token >> 52 != 0
+    dense = np.flatnonzero(salted | (many > join.few))
+    sparse = np.flatnonzero(~salted & (many > 1) & (many <= join.few))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, join.few):
+        i, j = sparse[:-step], sparse[step:]
+        same = token[i] == token[j]
+        if not same.any():
+            break
+        i, j = i[same], j[same]
+        ok = _passes_np(join, n[i], pos[i], n[j], pos[j])
+        a.append(node[i[ok]])
+        b.append(node[j[ok]])
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+    k, none = len(pairs), pa.nulls
+    columns = (
+        pa.concat_arrays([none(k, pa.int64()), pa.array(token[dense] & int(_TOKEN))]),
+        pa.array(np.concatenate([pairs[:, 0], node[dense]])),
+        pa.concat_arrays([pa.array(pairs[:, 1].copy()), none(len(dense), pa.int64())]),
+        pa.concat_arrays([none(k, pa.int32()), pa.array(n[dense].astype(np.int32))]),
+        pa.concat_arrays([none(k, pa.int32()), pa.array(pos[dense].astype(np.int32))]),
+    )
+    return pa.record_batch(list(columns), [c.split()[0] for c in _MET.split(", ")])
+
+
+def _meetings(join: Join):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            size += b.num_rows
+            if size < _AT_ONCE:
+                continue
+            token, node, detail = (np.concatenate(c) for c in zip(*held))
+            # The last token's rows may go on, unless they're dealt out anyway.
+            cut = len(token) if token[-1] >> 52 else int(np.searchsorted(token, token[-1]))
+            yield met(join, token[:cut], node[:cut], detail[:cut])
+            held, size = [[token[cut:], node[cut:], detail[cut:]]], len(token) - cut
+        if size:
+            yield met(join, *(np.concatenate(c) for c in zip(*held)))
 
     return run
 
 
 # --- Third pass: whole sets of texts with candidates ------------------------------------------------
 
-_SET = "node long, n int, whole binary, other binary"
+_SET = "node long, n int, part int, whole binary, other binary"
 _BYTES = 5  #: of a token, where whole sets are compared: 40 bits
 
 
@@ -208,7 +284,10 @@ def _third_pass(join: Join, classes, bitmap):
     """Sets, and behind each other the prefixes under the second and third order, of the texts that the bitmap marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: set[int] = set()
+        part = TaskContext.get().partitionId()
         for b in batches:
             for _, raw in _chunks(b.column(0)):
                 s = sets_of(raw, join.words)
@@ -227,7 +306,8 @@ def _third_pass(join: Join, classes, bitmap):
                     a, n = first[i], s.n[i]
                     whole.append(packed(np.sort(s.tokens[a : a + n] & np.uint64((1 << 8 * _BYTES) - 1))))
                     prefixes.append(b"".join(np.sort(o[a : a + join.prefix(n)]).tobytes() for o in others))
-                yield pa.record_batch([pa.array(s.node[chosen]), pa.array(s.n[chosen].astype(np.int32)), pa.array(whole, pa.binary()), pa.array(prefixes, pa.binary())], ["node", "n", "whole", "other"])
+                k = len(chosen)
+                yield pa.record_batch([pa.array(s.node[chosen]), pa.array(s.n[chosen].astype(np.int32)), pa.array([part] * k, pa.int32()), pa.array(whole, pa.binary()), pa.array(prefixes, pa.binary())], ["node", "n", "part", "whole", "other"])
 
     return run
 
@@ -239,12 +319,12 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def similar(join: Join, n_a: int, n_b: int, set_a: bytes, set_b: bytes, other_a: bytes, other_b: bytes) -> bool:
-    """Whether the pair shares prefix tokens under every order and its whole sets are similar enough."""
-    for k in (0, 1):
-        a, b = (np.frombuffer(o, "<u4").reshape(2, -1)[k] for o in (other_a, other_b))
-        if not _shared(a, b):
-            return False
+def prefixes_meet(join: Join, n_a: int, n_b: int, other_a: bytes, other_b: bytes) -> bool:
+    """Whether the pair shares prefix tokens under the second and the third order."""
+    return all(_shared(*(np.frombuffer(o, "<u4").reshape(2, -1)[k] for o in (other_a, other_b))) for k in (0, 1))
+
+
+def similar(join: Join, n_a: int, n_b: int, set_a: bytes, set_b: bytes) -> bool:
     return bool(join.enough(_shared(unpacked(set_a), unpacked(set_b)), n_a, n_b))
 
 
@@ -260,34 +340,70 @@ def _marked(df: DataFrame, node: str, nodes: DataFrame, bits: int) -> DataFrame:
     return arrow_map(df, run, df.schema)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The (a, b) that are similar. Only b's set travels with the pair. The partners of one a are dealt into parts, and a's set is sent once for each, so neither is gathered in one task."""
-    own = pairs.groupBy("a").agg(F.count("*").alias("_k"))
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("_k") / join.partners)).cast("int")
-    salted = pairs.join(own, "a").select("a", "b", salt.alias("salt"))
-    needed = _marked(sets, "node", pairs.select(F.col("a").alias("node")).union(pairs.select("b")), join.bitmap_bits)
-    side = lambda x: needed.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in needed.columns))
-    hubs = salted.select("a", "salt").distinct().join(side("a"), "a")
-    both = salted.join(side("b"), "b").join(hubs, ["a", "salt"])
+def _tested(pairs: DataFrame, sets: DataFrame, join: Join, test, payload: str, name: str) -> DataFrame:
+    """The (a, b) of a written table that pass test(join, n_a, n_b, payload of a, payload of b), written.
+
+    Only b's payload travels with the pair. The partners of one a are dealt into parts, and a's payload
+    is sent once for each, so neither is gathered in one task.
+    """
+    n = pairs.count()
+    busy = written(pairs.groupBy("a").count().where(F.col("count") > join.partners), "busy")
+    parts = F.coalesce(F.ceil(F.col("count") / join.partners), F.lit(1))
+    salted = pairs.join(hash_side(busy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("salt"))
+    needed = sets.select("node", "n", payload)
+    if n > MOST_SENT:
+        # The pairs are dealt out beside the sets; so only sets that occur in them are.
+        needed = _marked(needed, "node", pairs.select(F.col("a").alias("node")).union(pairs.select("b")), join.bitmap_bits)
+    side = lambda x: needed.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col(payload).alias(f"of_{x}"))
+    hubs = side("a").join(hash_side(salted.select("a", "salt").distinct(), n=n), "a")
+    both = side("b").join(hash_side(salted, n=n), "b").join(hubs, ["a", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # Row by row: sets of long texts are large.
-            ok = pa.array([similar(join, *(c[i].as_py() for c in b.columns[2:])) for i in range(b.num_rows)], pa.bool_())
+            ok = pa.array([test(join, *(c[i].as_py() for c in b.columns[2:])) for i in range(b.num_rows)], pa.bool_())
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    return arrow_map(both.select("a", "b", "n_a", "n_b", "whole_a", "whole_b", "other_a", "other_b"), run, "a long, b long")
+    out = written(arrow_map(both.select("a", "b", "n_a", "n_b", "of_a", "of_b"), run, "a long, b long"), name)
+    dropped(busy)
+    return out
 
 
 # --- Components ------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp: the least node reachable over links (a, b), for every node that has one.
-
-    Least labels spread over the links and then jump to their own labels, so a chain shortens by more
-    than half in each round.
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes of the links, the least node that each one reaches)."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        now = label.copy()
+        # The ends' labels take the least one too, so that chains shorten.
+        for at in (x, y, label[x], label[y]):
+            np.minimum.at(now, at, least)
+        now = now[now]
+        if (now == label).all():
+            return nodes, nodes[label]
+        label = now
+
+
+def components(links: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """node, comp: the least node reachable over the links (a, b) of a written table, for every node that has one; written.
+
+    Up to `most` links, whose number is counted first, one task reads them all. Beyond, least labels
+    spread over the links and then jump to their own labels, so a chain shortens by more than half in
+    each round.
     """
+    if links.count() <= most:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+            if got:
+                yield pa.record_batch([pa.array(x) for x in least_labels(*(np.concatenate(c) for c in zip(*got)))], ["node", "comp"])
+
+        return written(arrow_map(links.select("a", "b").where("a <> b").coalesce(1), run, "node long, comp long"), "labels")
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b")).select("node", F.least("node", "_b").alias("comp")), "labels")
     while True:
@@ -295,26 +411,28 @@ def components(links: DataFrame) -> DataFrame:
         spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
         spread = written(spread, "spread")
         of = spread.select(F.col("node").alias("_of"), F.col("comp").alias("_next"))
-        jumped = spread.join(of, F.col("comp") == F.col("_of")).select("node", F.least("comp", "_next").alias("comp"), "was")
-        jumped = written(jumped, "labels")
-        labels = jumped.select("node", "comp")
+        jumped = written(spread.join(of, F.col("comp") == F.col("_of")).select("node", F.least("comp", "_next").alias("comp"), "was"), "labels")
+        dropped(spread, labels)
+        labels = jumped
         if jumped.where("comp <> was").isEmpty():
-            return labels
+            out = written(jumped.select("node", "comp"), "labels")
+            dropped(both, jumped)
+            return out
 
 
-def _shared_tokens(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows of tokens that different texts have, with m, the number of the token's rows."""
-    own = Window.partitionBy("token")
-    rows = prefixes.withColumns({"_least": F.min("node").over(own), "_most": F.max("node").over(own), "m": F.count("*").over(own)})
-    return rows.where("_least < _most").drop("_least", "_most")
+# --- Dense tokens ----------------------------------------------------------------------------------
 
 
-def _with_components(tokens: DataFrame, comps: DataFrame) -> DataFrame:
-    """Prefix rows with their component, of tokens that still join different ones."""
-    own = Window.partitionBy("token")
-    rows = tokens.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = rows.withColumns({"_least": F.min("comp").over(own), "_most": F.max("comp").over(own)})
-    return rows.where("_least < _most").drop("_least", "_most")
+def _still_apart(rows: DataFrame) -> DataFrame:
+    """Prefix rows (token, node, n, pos, comp) of tokens that join different components, with the token's hub; written.
+
+    What is kept of a token adds up in the map-side combine, so a token that a third of all rows share is no load for one task.
+    """
+    hub = F.min(F.struct("pos", "node", "n", "comp")).alias("hub")
+    tokens = written(rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), hub).where("least < most").select("token", "hub"), "hubs")
+    out = written(rows.join(hash_side(tokens), "token"), "apart")
+    dropped(tokens)
+    return out
 
 
 def _passes(join: Join, n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -324,16 +442,20 @@ def _passes(join: Join, n_a: Column, pos_a: Column, n_b: Column, pos_b: Column)
 
 
 def _star(rows: DataFrame, join: Join) -> DataFrame:
-    hub = F.min(F.struct("pos", "node", "n", "comp")).over(Window.partitionBy("token"))
-    rows = rows.withColumn("hub", hub).where("hub.comp <> comp")
-    return rows.where(_passes(join, F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    """(hub, node) of rows of another component than the hub's."""
+    rows = rows.where("hub.comp <> comp").where(_passes(join, F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos")))
+    return rows.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
 
 
 def _rest(rows: DataFrame, join: Join) -> DataFrame:
-    x, y = rows.alias("x"), rows.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    """All pairs that share a token across components. Sizes fall into classes so wide that a pair of fitting sizes lies in one or in neighbours."""
+    width = max(math.log(100 / join.percent), 1e-6) * 1.0001
+    rows = rows.select("token", "node", "n", "pos", "comp", F.floor(F.log("n") / width).alias("class"))
+    x, y = rows.alias("x"), rows.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1))).alias("y")
+    larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & larger & (F.col("x.comp") != F.col("y.comp"))
     pairs = x.join(y, apart & _passes(join, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _in_bitmap(bitmap: bytes, nodes: np.ndarray, bits: int) -> np.ndarray:
@@ -351,6 +473,61 @@ def _bitmap(nodes: DataFrame, bits: int) -> bytearray:
     return out
 
 
+def _one_of_copies(sets: DataFrame) -> DataFrame:
+    """Sets of texts of which several partitions hold copies, once: those of the least partition."""
+    copies = written(sets.groupBy("node").agg(F.min("part").alias("least"), F.count("*").alias("k")).where("k > 1").select("node", "least"), "copies")
+    return sets.join(hash_side(copies), "node", "left").where(F.col("least").isNull() | (F.col("part") == F.col("least"))).drop("least", "part")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
+    """doc_id, row (a hash of id and text), n and comp of every row of docs; comp is null where n is 0."""
+    spark = docs.sparkSession
+    body = F.col(text).cast("string")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), body).alias("row"), body.alias("text"))
+    texts = source.select("text")
+    first = written(arrow_map(source, _first_pass(join), _FIRST), "sizes")
+    rows = first.where(F.col("node").isNotNull()).select("doc_id", "row", "n", "node")
+    sketch = _sketch(first, join)
+    classes, heavy = spark.sparkContext.broadcast(classes_of(sketch)), heavy_from(sketch, join)
+    prefixes = arrow_map(texts, _second_pass(join, classes, heavy), _PREFIX).repartition("token").sortWithinPartitions("token", "node", "detail")
+    meetings = written(arrow_map(prefixes, _meetings(join), _MET), "met")
+    large = meetings.where(F.col("token").isNotNull()).select("token", F.col("a").alias("node"), "n", "pos")
+    apart = _still_apart(large.withColumn("comp", F.col("node")))
+    pairs = written(meetings.where(F.col("token").isNull()).select("a", "b").union(_star(apart, join)).distinct(), "pairs")
+    candidates = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(apart.select("node"))
+    bitmap = spark.sparkContext.broadcast(bytes(_bitmap(candidates, join.bitmap_bits)))
+    held = written(arrow_map(texts, _third_pass(join, classes, bitmap), _SET), "sets")
+    sets = _one_of_copies(held)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = _tested(pairs, sets, join, prefixes_meet, "other", "met")
+        found = _tested(left, sets, join, similar, "whole", "found")
+        dropped(pairs, left)
+        return found
+
+    found = linked(pairs)
+    comps = components(found, join.links)
+    dropped(found)
+    done = 0
+    while done <= join.star_rounds:
+        if done == 0 or grown:
+            dropped(apart)
+            comp = F.coalesce("comp", "node").alias("comp")
+            apart = _still_apart(large.join(hash_side(comps), "node", "left").select("token", "node", "n", "pos", comp))
+        if apart.isEmpty():
+            break
+        found = linked(written((_star if done < join.star_rounds else _rest)(apart, join).distinct(), "pairs"))
+        if grown := not found.isEmpty():
+            more = written(found.union(comps.select("node", "comp")), "links")
+            dropped(comps)
+            comps = components(more, join.links)
+            dropped(more)
+        dropped(found)
+        done += 1
+    dropped(meetings, apart, held)
+    return rows.join(hash_side(comps), "node", "left").select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
     """doc_id (long), n_shingles, component_id of every row of docs.
 
@@ -358,42 +535,40 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component_id is the least doc_id reachable over links, its own included. Null and empty texts,
     and those without words, have no shingles and are linked with nothing, each other included.
     Repeated rows come out alike. A null id is never the least unless the component has no other.
-    An empty table gives an empty one; other columns play no part. Equality of shingles is that of
-    52 bits of a hash (40 where two sets are compared), equality of sets that of 64.
+    An empty table gives an empty one; other columns play no part, whatever they are called. Texts of
+    any length are read whole. Equality of shingles is that of 52 bits of a hash (40 where two sets
+    are compared), equality of sets that of 64.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = written(arrow_map(source, _first_pass(join), _FIRST), "sizes")
-    rows = first.where(F.col("node").isNotNull()).select("doc_id", "n", "node")
-    classes = spark.sparkContext.broadcast(classes_of(_sketch(first, join)))
-    prefixes = arrow_map(source.select("text"), _second_pass(join, classes), _PREFIX)
-    tokens = written(_shared_tokens(prefixes), "tokens")
-    alone = F.col("node").alias("comp")
-    small, large = tokens.where(F.col("m") <= join.few).select("*", alone), tokens.where(F.col("m") > join.few)
-    pairs = written(_rest(small, join).union(_star(large.select("*", alone), join)).distinct(), "pairs")
-    candidates = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node"))
-    bitmap = spark.sparkContext.broadcast(bytes(_bitmap(candidates, join.bitmap_bits)))
-    sets = arrow_map(source.select("text"), _third_pass(join, classes, bitmap), _SET)
-    sets = written(sets.dropDuplicates(["node"]), "sets")
-    comps = components(written(_verified(pairs, sets, join), "found"))
-    for n in range(join.star_rounds + 1):
-        left = written(_with_components(large, comps), "left")
-        if left.isEmpty():
-            break
-        pairs = written(_star(left, join) if n < join.star_rounds else _rest(left, join), "pairs")
-        found = written(_verified(pairs, sets, join), "found")
-        comps = components(found.union(comps.select("node", "comp")))
-    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_node = least.join(of_comp, "comp").select("node", "component_id")
-    out = rows.join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = _grouped(docs, doc_id, text, join)
+    least = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    out = rows.join(least, "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
-    """docs without all but the least id of each component; rows with a null id and texts without shingles stay."""
-    gone = jaccard_components(docs, doc_id, text, join).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(hash_side(written(gone, "gone")), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    """docs with one row of each component: the one with the least id, null ids last, and of an id's different texts the one with the least hash.
+
+    Rows repeated with id and text are one row then, the one with the least hash of all its columns.
+    Texts without shingles (null, empty, no words) are linked with nothing and stay, repeated or not.
+    An empty table gives an empty one. All columns are kept, whatever they are called; texts of any
+    length are read whole.
+    """
+    row, gone_id, gone_row = fresh(docs, "_row", "_gone_id", "_gone_row")
+    rows = _grouped(docs, doc_id, text, join).where("n > 0")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = rows.groupBy("comp").agg(F.min(own).alias("first"), F.count("*").alias("k")).where("k > 1").select("comp", "first")
+    # Components of more than one row: what goes, and where what stays is there more than once.
+    counted = written(rows.join(first, "comp").groupBy("doc_id", "row", (own != F.col("first")).alias("goes")).count(), "counted")
+    gone = counted.where("goes").select(F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row))
+    again = counted.where("not goes and count > 1").select(F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row))
+    keyed = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text).cast("string")))
+    same = (F.col(row) == F.col(gone_row)) & F.col(doc_id).cast("long").eqNullSafe(F.col(gone_id))
+    kept = keyed.join(hash_side(gone), same, "left_anti")
+    if not again.isEmpty():
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        once = kept.join(hash_side(again), same, "left_semi").groupBy(row, F.col(doc_id).cast("long")).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_once"))
+        kept = kept.join(hash_side(again), same, "left_anti").select(*names).unionByName(once.select("_once.*"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_ngram_jaccard(spark, sf_dir):

@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Unset, a local session (tests) gets a temporary one; a cluster has no folder that would do."""
     found = spark.conf.get(SETTING, None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
@@ -34,7 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -60,9 +72,14 @@ def hash_share(of: Column, wanted: int, there: int) -> Column:
     return F.xxhash64(of) <= F.lit(edge).cast("long")
 
 
-def hash_side(df: DataFrame, cells: Column | None = None, most: int = 500_000) -> DataFrame:
-    """A written table as the hash side of a join with a far larger one: broadcast if its rows, or the sum of `cells`, are at most `most`, which is counted first; else dealt by hash beside it, so that the larger side isn't sorted."""
-    n = df.agg(F.sum(cells)).first()[0] if cells is not None else df.count()
+#: Rows, or what stands for them, up to which a side is broadcast.
+MOST_SENT = 500_000
+
+
+def hash_side(df: DataFrame, cells: Column | None = None, most: int = MOST_SENT, n: int | None = None) -> DataFrame:
+    """A written table as the hash side of a join with a far larger one: broadcast if its rows `n`, or the sum of `cells`, are at most `most`, which is counted first; else dealt by hash beside it, so that the larger side isn't sorted."""
+    if n is None:
+        n = df.agg(F.sum(cells)).first()[0] if cells is not None else df.count()
     return F.broadcast(df) if (n or 0) <= most else df.hint("shuffle_hash")
 
 
