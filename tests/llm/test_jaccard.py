@@ -131,18 +131,26 @@ def test_prefixes_lose_no_pair():
     join = Join(sketch_bits=10)
     base = list(RNG.choice(WORDS, 200))
     texts = []
-    for k in range(40):
+    for k in range(60):
         w = list(base)
-        for _ in range(k // 6):
+        for _ in range(k // 6 if k < 40 else 100):
             w[RNG.integers(len(w))] = str(RNG.choice(WORDS))
         texts.append(" ".join(w).encode())
     s = jaccard.sets_of(texts, 4)
-    classes = jaccard.classes_of(RNG.integers(0, 50, 1 << 10))
+    tokens = jaccard.ordered(s, jaccard.classes_of(RNG.integers(0, 50, 1 << 10)), 10)
     ends = np.cumsum(s.n)
-    for order in range(3):
-        tokens = jaccard.ordered(s, classes, 10, order)
-        prefix = [set(tokens[e - n : e - n + join.prefix(n)].tolist()) for e, n in zip(ends, s.n)]
-        for i, j in itertools.combinations(range(len(texts)), 2):
-            a, b = (set(s.tokens[e - n : e].tolist()) for e, n in ((ends[i], s.n[i]), (ends[j], s.n[j])))
-            if 100 * len(a & b) >= 85 * len(a | b):
-                assert prefix[i] & prefix[j]
+    prefix = [set(tokens[e - n : e - n + join.prefix(n)].tolist()) for e, n in zip(ends, s.n)]
+    whole = [s.tokens[e - n : e] for e, n in zip(ends, s.n)]
+    other = [b"".join(jaccard.by_hash(t, seed)[: join.prefix(len(t))].tobytes() for seed in jaccard._SEEDS) for t in whole]
+    passed = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = set(whole[i].tolist()), set(whole[j].tolist())
+        meet = jaccard.prefixes_meet(join, len(a), len(b), other[i], other[j])
+        passed += meet
+        if 100 * len(a & b) >= 85 * len(a | b):
+            assert prefix[i] & prefix[j] and meet
+    # Far pairs are held back.
+    assert passed < len(texts) * (len(texts) - 1) / 2
+    # A prefix that ends before the other one begins shares nothing.
+    low, high = (b"".join(np.arange(x, x + 4, dtype="<u4").tobytes() for _ in range(2)) for x in (0, 100))
+    assert not jaccard.prefixes_meet(join, 20, 20, low, high) and not jaccard.prefixes_meet(join, 20, 20, high, low)

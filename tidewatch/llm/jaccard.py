@@ -34,7 +34,7 @@ from tidewatch.llm.words import chunks, mix, scan, windows
 
 _TOKEN = np.uint64((1 << 52) - 1)
 _DOCS = 4000  #: texts in a chunk; their number has 12 bits
-_SEEDS = tuple(np.uint64(s) for s in (0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
+_SEEDS = tuple(np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
 
 
 @dataclass(frozen=True)
@@ -99,16 +99,21 @@ def bucket_of(tokens: np.ndarray, bits: int) -> np.ndarray:
     return (tokens >> np.uint64(52 - bits)).astype(np.int64)
 
 
-def ordered(s: Sets, classes: np.ndarray, bits: int, order: int) -> np.ndarray:
-    """Each text's tokens under an order, as 52-bit numbers: 10 bits for how common, 42 of a hash of the token.
+def ordered(s: Sets, classes: np.ndarray, bits: int) -> np.ndarray:
+    """Each text's tokens under the first order, as 52-bit numbers: 10 bits for how common, 42 of a hash of the token.
 
     Different tokens may get one number; they then count as shared, which the comparison of whole sets mends.
     """
     common = classes[bucket_of(s.tokens, bits)]
-    tie = mix(s.tokens ^ _SEEDS[order]) >> np.uint64(22)
+    tie = mix(s.tokens) >> np.uint64(22)
     return np.sort((s.doc.astype(np.uint64) << np.uint64(52)) | (common << np.uint64(42)) | tie) & _TOKEN
 
 
+def by_hash(tokens: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A text's tokens under a hash's order, as 32-bit numbers; again, one number may stand for different tokens."""
+    return np.sort((mix(tokens ^ seed) >> np.uint64(32)).astype("<u4"))
+
+
 def classes_of(sketch: np.ndarray) -> np.ndarray:
     return np.minimum(1023, 32 * np.log2(1 + sketch.astype(float))).astype(np.uint64)
 
@@ -190,7 +195,7 @@ def _second_pass(join: Join, classes, heavy: int):
                     if s.n[i] and node not in seen:
                         seen.add(node)
                         new[i] = True
-                tokens = ordered(s, classes.value, join.sketch_bits, 0)
+                tokens = ordered(s, classes.value, join.sketch_bits)
                 pos = np.arange(len(tokens)) - np.repeat(np.cumsum(s.n) - s.n, s.n)
                 keep = (pos < np.repeat(join.prefix(s.n), s.n)) & np.repeat(new, s.n)
                 of, token = s.doc[keep], tokens[keep]
@@ -280,7 +285,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _third_pass(join: Join, classes, bitmap):
+def _third_pass(join: Join, bitmap):
     """Sets, and behind each other the prefixes under the second and third order, of the texts that the bitmap marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,13 +304,13 @@ def _third_pass(join: Join, classes, bitmap):
                         chosen.append(i)
                 if not chosen:
                     continue
-                others = [(ordered(s, classes.value, join.sketch_bits, k) & np.uint64(0xFFFFFFFF)).astype("<u4") for k in (1, 2)]
                 first = np.cumsum(s.n) - s.n
                 whole, prefixes = [], []
                 for i in chosen:
                     a, n = first[i], s.n[i]
-                    whole.append(packed(np.sort(s.tokens[a : a + n] & np.uint64((1 << 8 * _BYTES) - 1))))
-                    prefixes.append(b"".join(np.sort(o[a : a + join.prefix(n)]).tobytes() for o in others))
+                    tokens = s.tokens[a : a + n]
+                    whole.append(packed(np.sort(tokens & np.uint64((1 << 8 * _BYTES) - 1))))
+                    prefixes.append(b"".join(by_hash(tokens, seed)[: join.prefix(n)].tobytes() for seed in _SEEDS))
                 k = len(chosen)
                 yield pa.record_batch([pa.array(s.node[chosen]), pa.array(s.n[chosen].astype(np.int32)), pa.array([part] * k, pa.int32()), pa.array(whole, pa.binary()), pa.array(prefixes, pa.binary())], ["node", "n", "part", "whole", "other"])
 
@@ -314,14 +319,26 @@ def _third_pass(join: Join, classes, bitmap):
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     """Common values of two sorted arrays of distinct values."""
+    if not len(b):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int(np.count_nonzero(b[at] == a))
 
 
 def prefixes_meet(join: Join, n_a: int, n_b: int, other_a: bytes, other_b: bytes) -> bool:
-    """Whether the pair shares prefix tokens under the second and the third order."""
-    return all(_shared(*(np.frombuffer(o, "<u4").reshape(2, -1)[k] for o in (other_a, other_b))) for k in (0, 1))
+    """Whether the prefixes under the second and the third order leave room for enough shared tokens.
+
+    Up to the lesser of the two prefixes' ends, both hold all their tokens: what they share there, and
+    at most all that the smaller rest has, is shared.
+    """
+    for k in (0, 1):
+        a, b = (np.frombuffer(o, "<u4").reshape(2, -1)[k] for o in (other_a, other_b))
+        end = min(a[-1], b[-1])
+        a, b = (x[: np.searchsorted(x, end, side="right")] for x in (a, b))
+        if not join.enough(_shared(a, b) + min(n_a - len(a), n_b - len(b)), n_a, n_b):
+            return False
+    return True
 
 
 def similar(join: Join, n_a: int, n_b: int, set_a: bytes, set_b: bytes) -> bool:
@@ -496,7 +513,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, join: Join) -> DataFrame:
     pairs = written(meetings.where(F.col("token").isNull()).select("a", "b").union(_star(apart, join)).distinct(), "pairs")
     candidates = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(apart.select("node"))
     bitmap = spark.sparkContext.broadcast(bytes(_bitmap(candidates, join.bitmap_bits)))
-    held = written(arrow_map(texts, _third_pass(join, classes, bitmap), _SET), "sets")
+    held = written(arrow_map(texts, _third_pass(join, bitmap), _SET), "sets")
     sets = _one_of_copies(held)
 
     def linked(pairs: DataFrame) -> DataFrame:
