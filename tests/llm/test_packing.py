@@ -1,18 +1,22 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidewatch.llm.packing import Encoder, SumOfSquares, default_tokenizer, emptied, pack_documents
 
+OWN = Tokenizer.from_file(default_tokenizer())
+ENCODE = Encoder(default_tokenizer())
 SCHEMA = "doc_id long, text string, length string, offset string"
 
 
 def encoded(text):
-    t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*OWN.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_encoder_equals_the_files_own_library():
@@ -21,6 +25,18 @@ def test_encoder_equals_the_files_own_library():
         assert np.frombuffer(encode(text), "<u4").tolist() == encoded(text)[:-1]
 
 
+@given(st.lists(st.one_of(st.text(max_size=40), st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n\n", "é", "\u200b", "\r\n", "'s", "'S", "٣", "ǅ", "a\u0301"])), max_size=8).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_any_text_has_the_ids_of_the_files_own_library(text):
+    assert np.frombuffer(ENCODE(text), "<u4").tolist() == encoded(text)[:-1]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables aren't here")
+def test_given_documents_have_the_ids_of_the_files_own_library():
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert np.frombuffer(ENCODE(text or ""), "<u4").tolist() == encoded(text)[:-1]
+
+
 def test_pieces_cover_each_document_once_and_fill_windows(spark):
     rng = np.random.default_rng(0)
     texts = [None, "", "same", "same", *(" ".join(f"w{x}" for x in rng.integers(0, 999, n)) for n in (1, 3, 40, 900, 4000, 500, 20_000))]

@@ -9,6 +9,7 @@ two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +37,9 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     """Ids of texts under a byte-level BPE file, as little-endian unsigned 32-bit bytes.
 
-    The file's own vocabulary and ranks are given to the quicker of two public libraries; what that
-    one refuses (such as endless white space) goes to the library the file is written for.
+    The file's own vocabulary and ranks are given to the quicker of two public libraries. Texts that
+    spell one of the file's added tokens, which that library would take apart, and what it refuses
+    (such as endless white space) go to the library the file is written for, used as it comes.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,19 +49,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         letters = byte_letters()
-        ranks = {bytes(letters[c] for c in k): v for k, v in self.slow.get_vocab(with_added_tokens=False).items() if all(c in letters for c in k) and not k.startswith("<|")}
+        added = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
+        ranks = {bytes(letters[c] for c in k): v for k, v in self.slow.get_vocab(with_added_tokens=False).items() if k not in added and all(c in letters for c in k)}
         self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def __call__(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self._slowly(text)
         try:
             return bytes(self.fast.encode_to_tiktoken_buffer(text, set()))
         except BaseException as error:  # the library's panics aren't Exceptions
             if isinstance(error, KeyboardInterrupt | SystemExit):
                 raise
-            clean = text.encode("utf-8", "replace").decode()
-            return np.asarray(self.slow.encode(clean, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._slowly(text)
+
+    def _slowly(self, text: str) -> bytes:
+        clean = text.encode("utf-8", "replace").decode()
+        return np.asarray(self.slow.encode(clean, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class SumOfSquares:
