@@ -1,8 +1,15 @@
-from tidewatch.llm.pages import extract, parsed
+import time
+import tracemalloc
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidewatch.llm.pages import extract, parsed, templates
 
 
 def text(page):
-    return " ".join(t for t, _ in parsed(page).blocks)
+    return parsed(page).without(set())
 
 
 def test_the_article_is_what_remains():
@@ -20,6 +27,49 @@ def test_broken_pages():
     assert text("<main>m</main>rest") == "m"
 
 
+def test_deep_and_long_broken_pages_take_little_time_and_memory():
+    pages = ["<div>x" * 50_000, "<b>" * 40_000 + "</p>" * 40_000 + "z", "<p>" + "<div>" + "<i>" * 40_000 + "</p>" * 40_000 + "z", "<li>" * 40_000 + "</b>" * 40_000 + "z", "<article>" + "<section><p>t" * 30_000]
+    tracemalloc.start()
+    began = time.perf_counter()
+    for page in pages:
+        own = parsed(page)
+        assert own.without({own.chain[0][0]} if own.chain else set()).count("x") == 0
+    assert time.perf_counter() - began < 60
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<li>", "</li>", "<ul>", "</ul>", "<td>", "<tr>", "<table>", "</table>", "<main>", "</main>", "<h1>", "x", " y "]), max_size=40).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_blocks_go_with_any_element_around_them(page):
+    own = parsed(page)
+    for h in own.around():
+        left = []
+        for said, at in own.blocks:
+            while at >= 0 and own.chain[at][0] != h:
+                at = own.chain[at][1]
+            left += [said] if at < 0 else []
+        assert own.without({h}) == " ".join(left)
+
+
+def test_templates_of_a_host_equal_a_count_by_hand(spark):
+    rng = np.random.default_rng(5)
+    parts = [f"<div class=k{i}><p>part {i}</p></div>" for i in range(12)]
+    weights = np.linspace(0.02, 0.9, 12)
+    rows = [(i, f"http://{'ab'[i % 3 == 0]}.org/{i}", "<body>" + "".join(p for p, w in zip(parts, weights) if rng.random() < w) + f"<article><p>words {rng.integers(40)}</p></article></body>") for i in range(60)]
+    rows += [(1000 + i, u, h) for i, u, h in rows[:20]]
+    seen = {}
+    for _, url, html in rows:
+        host, own = url[7:12], parsed(html)
+        for s in {None, *own.subtrees}:
+            seen.setdefault((host, False, s), set()).add(html)
+        for s in {None, *own.around()}:
+            seen.setdefault((host, True, s), set()).add(own.article)
+    want = {(h, s) for (h, inside, s), pages in seen.items() if s is not None and len(pages) >= 5 and len(pages) >= min(0.2 * len(seen[h, inside, None]), 48)}
+    got = templates(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {(r.host, r.subtree) for r in got.collect()} == want and want
+
+
 def test_templates_of_a_host_go(spark):
     rows = [(i, f"http://a.org/{i}", f"<body><div><p>Our site since 1999</p><p>Read more</p></div><p>Own text {i} here</p></body>", "x") for i in range(20)]
     rows += [(100 + i, "http://b.org/1", "<body><p>the very same page</p></body>", "x") for i in range(20)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import arrow_map, table, written
+from tidewatch.llm.tables import arrow_map, hash_side, table, written
 from tidewatch.llm.urls import host_of
 
 # Element names by what they do to the text, and names that classes and ids give to what isn't the article.
@@ -65,18 +65,20 @@ def tree(page: str) -> Node:
     """The page's elements. Unclosed and stray tags are mended: a block ends an open p, an li ends the one before, an end tag closes what it holds, and a broken tag at the end is left out."""
     root = Node("#root")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # of each element's name, where it stands in the stack
 
     def say(text: str) -> None:
         if text:
             stack[-1].parts.append(text)
 
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def close(names: tuple[str, ...], fences: frozenset = FENCES) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in fences:
-                return
+        top = last(names)
+        if top and top >= last(fences):
+            while len(stack) > top:
+                places[stack.pop().tag].pop()
 
     while at < len(page):
         less = page.find("<", at)
@@ -94,8 +96,6 @@ def tree(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                continue
             close((tag,), frozenset() if tag in FENCES else FENCES)
             continue
         if tag in CLOSES_P:
@@ -113,21 +113,33 @@ def tree(page: str) -> Node:
             shut = page.find(">", at)
             at = len(page) if shut < 0 else shut + 1
         elif tag not in VOID and not m[3].endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
 
 @dataclass
 class Page:
-    blocks: list  #: (text, hashes of the elements around it) in page order
+    blocks: list  #: (text, place in `chain` of the innermost element around it, or -1) in page order
+    chain: list  #: (hash, place of the next element outside it, or -1) of elements around blocks, outer ones first
     subtrees: list  #: hashes of all elements outside the article
-    inside: list  #: hashes of the article's elements around its blocks
     article: int | None  #: a hash of the article's text; None without an article
 
+    def around(self) -> set[int]:
+        """Hashes of all elements around blocks."""
+        return {h for h, _ in self.chain}
+
+    def without(self, gone: set[int]) -> str:
+        """The blocks that stand in no element of these hashes, joined by spaces."""
+        out = []
+        for h, outer in self.chain:
+            out.append(h in gone or outer >= 0 and out[outer])
+        return " ".join(text for text, at in self.blocks if at < 0 or not out[at])
+
 
 def parsed(page: str | None) -> Page:
     root = tree(page or "")
-    blocks, subtrees = [], []
+    blocks, subtrees, chain = [], [], []
     held: list[str] = []
 
     def digest(node: Node) -> bytes:
@@ -138,15 +150,21 @@ def parsed(page: str | None) -> Page:
 
     hashes: dict[int, bytes] = {}
 
-    def flush(around: tuple | None) -> None:
+    def flush(around: list | None) -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
-        if text:
-            out = []
-            while around:
-                own, around = around
-                out.append(own)
-            blocks.append((text, out))
+        if not text:
+            return
+        # Elements around the block that have no place yet get one, the outermost first.
+        new = []
+        while around and around[2] < 0:
+            new.append(around)
+            around = around[1]
+        place = around[2] if around else -1
+        for link in reversed(new):
+            chain.append((link[0], place))
+            place = link[2] = len(chain) - 1
+        blocks.append((text, place))
 
     # Depth first without recursion, as pages nest as deep as they like: hashes on the way out.
     order, todo = [], [root]
@@ -161,7 +179,7 @@ def parsed(page: str | None) -> Page:
         hashes[id(node)] = digest(node)
         if not node.main and node.tag not in ("#root", "html", "body") and not any(isinstance(p, Node) and p.main for p in node.parts):
             subtrees.append(int.from_bytes(hashes[id(node)], "little", signed=True))
-    # The elements around a block are a chain (hash, the chain outside it), which deep pages share.
+    # The elements around a block are linked: [hash, the link outside it, its place in `chain`]; deep pages share them.
     walk: list = [(root, iter(root.parts), None)]
     while walk:
         node, parts, around = walk[-1]
@@ -181,15 +199,15 @@ def parsed(page: str | None) -> Page:
         else:
             inner = around
             if p.main == has_main and p.tag not in ("html", "body"):
-                inner = (int.from_bytes(hashes[id(p)], "little", signed=True), around)
+                inner = [int.from_bytes(hashes[id(p)], "little", signed=True), around, -1]
             if p.tag in BLOCKS:
                 flush(around)
             walk.append((p, iter(p.parts), inner))
     flush(None)
     if not has_main:
-        return Page(blocks, subtrees, [], None)
+        return Page(blocks, chain, subtrees, None)
     text = hashlib.blake2b(" ".join(t for t, _ in blocks).encode("utf-8", "replace"), digest_size=8).digest()
-    return Page(blocks, subtrees, [*{h for _, around in blocks for h in around}], int.from_bytes(text, "little", signed=True))
+    return Page(blocks, chain, subtrees, int.from_bytes(text, "little", signed=True))
 
 
 @dataclass(frozen=True)
@@ -202,7 +220,6 @@ class Recurring:
 
 
 _SEEN = "host string, inside boolean, page long, subtree long"
-_READ = "blocks array<struct<text:string,around:array<long>>>"
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", rule: Recurring = Recurring()) -> DataFrame:
@@ -218,7 +235,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", rule: Recu
                 own = parsed(page)
                 rows += [(host, False, h, s) for s in {None, *own.subtrees}]
                 if own.article is not None:
-                    rows += [(host, True, own.article, s) for s in (None, *own.inside)]
+                    rows += [(host, True, own.article, s) for s in {None, *own.around()}]
             columns = zip(*rows) if rows else ([], [], [], [])
             kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "inside", "page", "subtree"])
@@ -252,13 +269,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for b in parts:
             texts = []
             for host, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                blocks = parsed(page).blocks
-                around = np.fromiter({h for _, a in blocks for h in a}, np.int64)
+                own = parsed(page)
+                around = np.fromiter(own.around(), np.int64)
                 pairs = around ^ np.int64(host)
                 at = np.searchsorted(known, pairs)
                 hit = known[np.minimum(at, len(known) - 1)] == pairs if len(known) else np.zeros(len(pairs), bool)
-                drop = set(around[hit].tolist())
-                texts.append(" ".join(t for t, a in blocks if drop.isdisjoint(a)))
+                texts.append(own.without(set(around[hit].tolist())))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     hashed = source.select("page_id", "url", F.xxhash64(host_of(F.col("url"))).alias("host"), "html")
@@ -266,20 +282,25 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 def _joined(source: DataFrame, kind: str, gone: DataFrame) -> DataFrame:
-    """The same for any number of templates."""
+    """The same for any number of templates: only hashes of subtrees meet them, and a page's own come back to it."""
+
+    def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            around = pa.array([[*parsed(x).around()] for x in b.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), around], ["row", "host", "around"])
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            blocks = [[{"text": t, "around": a} for t, a in parsed(x).blocks] for x in b.column(2).to_pylist()]
-            made = pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))
-            yield pa.record_batch([*b.columns[:-1], made], [*b.schema.names[:-1], "blocks"])
-
-    done = arrow_map(source, read, f"page_id {kind}, url string, {_READ}")
-    done = written(done.withColumns({"_host": host_of(F.col("url")), "_row": F.xxhash64("page_id", "url", F.to_json("blocks"))}), "blocks")
-    around = done.select("_row", F.col("_host").alias("host"), F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda x: x["around"])))).alias("subtree")).distinct()
-    found = around.join(gone, ["host", "subtree"]).groupBy("_row").agg(F.collect_set("subtree").alias("_gone"))
-    left = F.filter("blocks", lambda x: ~F.arrays_overlap(x["around"], F.coalesce("_gone", F.array().cast("array<long>"))))
-    return done.join(found, "_row", "left").select("page_id", "url", F.array_join(F.transform(left, lambda x: x["text"]), " ").alias("text"))
+            texts = [parsed(x).without(set(gone or ())) for x, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    # Pages of one host and text share a row number; so do what they lose.
+    rows = source.withColumns({"_host": host_of(F.col("url")), "_row": F.xxhash64(host_of(F.col("url")), "html")})
+    around = arrow_map(rows.select("_row", "_host", "html"), hashed, "row long, host string, around array<long>")
+    met = around.select("row", "host", F.explode("around").alias("subtree")).distinct().join(gone, ["host", "subtree"])
+    found = written(met.groupBy(F.col("row").alias("_row")).agg(F.collect_set("subtree").alias("gone")), "found")
+    chosen = rows.join(hash_side(found, F.size("gone") + 4, 5_000_000), "_row", "left").select("page_id", "url", "html", "gone")
+    return arrow_map(chosen, read, f"page_id {kind}, url string, text string")
 
 
 def op6_html_extraction(spark, sf_dir):
