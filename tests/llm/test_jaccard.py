@@ -120,7 +120,7 @@ def test_one_of_each_takes_repeated_rows_and_shared_ids_apart(spark):
 def test_finished_tables_are_deleted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{tmp_path}")
     jaccard_components(spark.createDataFrame(corpus(), "doc_id long, text string"), join=Join(sketch_bits=12, bitmap_bits=16)).collect()
-    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"sizes", "labels", "copies"}
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"sizes", "labels", "copies", "several"}
 
 
 def test_empty_table(spark):

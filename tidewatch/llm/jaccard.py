@@ -557,9 +557,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     are compared), equality of sets that of 64.
     """
     rows = _grouped(docs, doc_id, text, join)
-    least = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Most rows are alone; components of several are few enough to send, or else meet their rows by hash.
+    several = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1")
+    out = rows.join(hash_side(written(several, "several")), "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("k") > 1, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
@@ -574,8 +575,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", joi
     rows = _grouped(docs, doc_id, text, join).where("n > 0")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = rows.groupBy("comp").agg(F.min(own).alias("first"), F.count("*").alias("k")).where("k > 1").select("comp", "first")
+    first = written(first, "first")
     # Components of more than one row: what goes, and where what stays is there more than once.
-    counted = written(rows.join(first, "comp").groupBy("doc_id", "row", (own != F.col("first")).alias("goes")).count(), "counted")
+    counted = written(rows.join(hash_side(first), "comp").groupBy("doc_id", "row", (own != F.col("first")).alias("goes")).count(), "counted")
+    dropped(first)
     gone = counted.where("goes").select(F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row))
     again = counted.where("not goes and count > 1").select(F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row))
     keyed = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text).cast("string")))
