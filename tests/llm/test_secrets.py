@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tidewatch.llm import secrets
 from tidewatch.llm.secrets import RULES, findings_by_path, joined, scan_unseen
 
@@ -28,6 +30,22 @@ def said(df):
     return sorted((r.path or "", r.said) for r in df.select("path", joined(df.spans).alias("said")).collect())
 
 
+def test_a_text_of_50_000_hits(spark):
+    text = "é " + " ".join(f"token={i:012d} {i:016x}" for i in range(25_000))
+    df = spark.createDataFrame([("p", text, "b", 1)], SCHEMA)
+    assert said(secrets.scanned(df.select("path", "content"), "content")) == [("p", brute(text))]
+
+
+@pytest.mark.parametrize("most", [0, 3, 10**6])
+def test_any_way_to_choose_blobs_scans_the_same(spark, most):
+    rows = [(f"p{i}", t, "b", 1) for i, t in enumerate(TEXTS * 2)] + [("p3", TEXTS[3], "b", 1), (None, TEXTS[4], "b", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    half = scan_unseen(df.where("path in ('p2', 'p3', 'p4', 'p5')"), most=most)
+    more = scan_unseen(df, ledger=half, most=most)
+    assert half.count() == 4 and more.count() == len({t or "" for t in TEXTS}) - 4
+    assert said(findings_by_path(df, half.unionByName(more))) == sorted((p or "", brute(t)) for p, t, *_ in rows)
+
+
 def test_spans_equal_brute_force_and_copies_scan_once(spark):
     rows = [(f"p{i}", t, "b", 1) for i, t in enumerate(TEXTS)] + [("q", TEXTS[2], "b", 1), ("p3", TEXTS[3], "b", 1), (None, TEXTS[4], "b", 1)]
     df = spark.createDataFrame(rows, SCHEMA)

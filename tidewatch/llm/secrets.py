@@ -3,7 +3,8 @@
 A version's content is addressed by its SHA-256. Only (blob, rule version) pairs that the ledger
 doesn't hold are scanned, one representative row per blob, and findings are joined back to every
 path that ever held the blob. Only digests meet in the grouping, so a blob with a third of all
-paths adds up in the map-side combine; the join back leaves the split of hot blobs to AQE.
+paths adds up in the map-side combine; the join back leaves the split of hot blobs to AQE. Texts
+are scanned where they are read: what is sent to them is a checked number of digests.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import table, text_or_empty, written
+from tidewatch.llm.tables import MOST_SENT, hash_side, table, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,12 @@ RULES = (
 )
 VERSION = "2026-1"
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+_AT_ONCE = 128  #: hits that are added up in one go; each go copies what it has so far
+
+
+def _once(value: Column, of) -> Column:
+    """of(value), where value is computed once however often `of` uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -49,16 +56,29 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     none = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
         if rule.least:
-            long_enough = F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least
-            span = F.when(long_enough, span).otherwise(none)
+            span = F.when(x["good"], span).otherwise(none)
         return F.struct(end.alias("at"), F.concat(acc["out"], span).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def added(pairs: Column, start: Column) -> Column:
+        return F.aggregate(pairs, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def measured(gap: Column, hit: Column) -> Column:
+        good = F.length(F.regexp_extract(hit, rule.pattern, rule.group)) >= rule.least if rule.least else F.lit(True)
+        return F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), good.alias("good"))
+
+    def in_parts(pairs: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _AT_ONCE).cast("int"))
+        own = lambda k: F.slice(pairs, k * _AT_ONCE + 1, _AT_ONCE)
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+        lengths = F.transform(parts, lambda k: total(F.transform(own(k), lambda x: x["gap"] + x["hit"])))
+        return _once(lengths, lambda sums: F.flatten(F.transform(parts, lambda k: added(own(k), F.when(k == 0, F.lit(0)).otherwise(total(F.slice(sums, 1, k)))))))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, measured)
+    found = _once(pairs, lambda p: F.when(F.size(p) <= _AT_ONCE, added(p, F.lit(0))).otherwise(in_parts(p)))
     return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(none)
 
 
@@ -79,25 +99,42 @@ def addressed(versions: DataFrame, path: str, content: str) -> DataFrame:
     return versions.select(F.col(path).alias("path"), text_or_empty(content).alias("content")).withColumn("blob", F.unhex(F.sha2("content", 256)))
 
 
-def scan_unseen(versions: DataFrame, path: str = "path", content: str = "content", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
+def scan_unseen(versions: DataFrame, path: str = "path", content: str = "content", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, most: int = MOST_SENT) -> DataFrame:
     """New ledger rows (blob, rule_version, spans) of the blobs that the ledger lacks under this rule version.
 
     Every scanned blob gets a row, also without spans, so that it isn't scanned again. A blob that
-    several rows hold is scanned once: at the path with the least hash.
+    several rows hold is scanned once: at the path with the least hash. Null and empty contents are
+    one blob; a null path is a path; repeated rows count once; an empty table gives no rows, and so
+    does one whose blobs the ledger holds; contents of any length are read whole; other columns play
+    no part.
     """
     all_rows = addressed(versions, path, content).withColumn("key", F.xxhash64("path"))
-    chosen = all_rows.groupBy("blob").agg(F.min("key").alias("key"))
-    if ledger is not None:
-        chosen = chosen.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    # Build sides are digests; texts are dealt by blob and key together, so copies spread out.
-    todo = all_rows.join(chosen.hint("shuffle_hash"), ["blob", "key"], "left_semi").select("blob", "content")
+    blobs = all_rows.groupBy("blob").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+    if ledger is None:
+        blobs = blobs.withColumn("known", F.lit(False))
+    else:
+        held = ledger.where(F.col("rule_version") == version).select("blob").distinct().withColumn("known", F.lit(True))
+        blobs = blobs.join(held, "blob", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    blobs = written(blobs, "blobs")
+    new, other = blobs.where("not known").select("blob", F.col("least").alias("key")), blobs.where("known or n > 1").select("blob", "least", "known")
+    n_new, n_other = new.count(), other.count()
+    if n_new <= min(most, n_other):
+        # Little is new: its digests choose the rows.
+        todo = all_rows.join(hash_side(new, n=n_new, most=most), ["blob", "key"], "left_semi")
+    else:
+        # Most is new: digests of what is known or there more than once leave rows out. Beyond `most` of them, texts are dealt by blob.
+        todo = all_rows.join(hash_side(other, n=n_other, most=most), "blob", "left").where(F.col("known").isNull() | (~F.col("known") & (F.col("key") == F.col("least"))))
     # A repeated row has its blob's key twice; the ledger takes a blob once.
-    spans = scanned(todo, "content", rules).groupBy("blob").agg(F.first("spans").alias("spans"))
+    spans = scanned(todo.select("blob", "content"), "content", rules).groupBy("blob").agg(F.first("spans").alias("spans"))
     return spans.select("blob", F.lit(version).alias("rule_version"), "spans")
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, path: str = "path", content: str = "content", version: str = VERSION) -> DataFrame:
-    """Every row's path and blob with the ledger's spans of that blob (an empty array where there are none)."""
+    """Every row's path and blob with the ledger's spans of that blob (an empty array where there are none, or no row in the ledger).
+
+    Null and empty contents are one blob; a null path stays null; repeated rows each get their row;
+    an empty table gives an empty one; contents of any length are read whole; other columns play no part.
+    """
     known = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
     rows = addressed(versions, path, content).select("path", "blob")
     return rows.join(known, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
