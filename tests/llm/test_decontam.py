@@ -63,6 +63,22 @@ def test_spans_go_and_clean_texts_stay(spark):
     assert got == {1: "Before, is kept ok:  -- and after. " + "rest " * 20, 3: "nothing here", None: None, 4: ""}
 
 
+def test_a_text_without_its_hit_words_equals_the_plain_way(spark):
+    rows = []
+    for n in (1, 2, 5, 30, 200, 60_000):
+        spelled = [str(w).title() for w in RNG.choice(WORDS, n)]
+        gaps = [str(g) for g in RNG.choice([" ", ", ", "\n", "-- "], n + 1)]
+        gaps[0], gaps[-1] = ("", "") if n % 2 else gaps[:1] + gaps[-1:]
+        hit = sorted({int(x) for x in RNG.integers(0, n, n // 2 + 1)})
+        gone = set(hit)
+        kept = "".join("" if i in gone and i - 1 in gone else g if i in gone else g + w for i, (g, w) in enumerate(zip(gaps, spelled))) + gaps[-1]
+        rows.append((n, "".join(g + w for g, w in zip(gaps, spelled)) + gaps[-1], hit, kept))
+    df = spark.createDataFrame(rows, "n int, text string, hit array<int>, kept string")
+    n_words, rest = decontam._taken_apart(df.text, df.hit)
+    got = df.select("n", "kept", n_words.alias("words"), rest.alias("rest")).collect()
+    assert all(r.words == r.n and r.rest == r.kept for r in got)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")

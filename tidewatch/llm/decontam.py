@@ -105,7 +105,10 @@ _WRITTEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  #: words before A-Z are
 def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_share: float = 0.5) -> DataFrame:
     """docs without benchmark passages: a document goes if more than most_share of its words are hit, else its hit words and what stands between them go.
 
-    Untouched documents keep their text as it is, null included. All columns are kept.
+    Untouched documents keep their text as it is, null included. All columns are kept, whatever they
+    are called; repeated rows each stay or go alike; an empty table gives an empty one, and without
+    items all stay; texts of any length are read whole. Rows of one id and text (by a 64-bit hash) are
+    judged together.
     """
     key, clean, gone = fresh(docs, "_row", "_clean", "_gone")
     body = F.col(text).cast("string")
@@ -113,8 +116,8 @@ def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     found = written(hits(docs, items, doc_id, text, item_id, item_text).select(F.col("_key").alias(key), F.col("hit").alias(gone)), "hits")
     # Only documents with hits are taken apart; the others meet a small table of what came of those.
     touched = keyed.select(key, body.alias(clean)).join(hash_side(found, F.size(gone) + 4, 5_000_000), key)
-    spelled, rest = _taken_apart(F.col(clean), F.col(gone))
-    touched = touched.select(key, rest.alias(clean), (F.size(gone) > most_share * F.size(spelled)).alias(gone)).dropDuplicates([key])
+    n_words, rest = _taken_apart(F.col(clean), F.col(gone))
+    touched = touched.select(key, rest.alias(clean), (F.size(gone) > most_share * n_words).alias(gone)).dropDuplicates([key])
     touched = written(touched, "touched")
     joined = keyed.join(hash_side(touched, F.octet_length(clean) + 16, 32_000_000), key, "left")
     kept = joined.where(F.col(gone).isNull() | ~F.col(gone))
@@ -122,13 +125,25 @@ def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 
 def _taken_apart(body: Column, hit: Column) -> tuple[Column, Column]:
-    """(words of a text as they are written, the text without the words at the positions `hit` and what stands between them)."""
+    """(number of words of a text, the text without the words at the positions `hit`, ascending, and what stands between them)."""
     # gaps[i] stands before word i, the last gap after all.
     gaps, spelled = F.split(body, _WRITTEN, -1), F.regexp_extract_all(body, F.lit(_WRITTEN), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(spelled)), spelled, lambda g, w: F.struct(g.alias("g"), w.alias("w")))
-    is_hit = lambda i: F.array_contains(hit, i)
-    kept = F.transform(pairs, lambda x, i: F.when(~is_hit(i), F.concat(x["g"], x["w"])).when(is_hit(i - 1), F.lit("")).otherwise(x["g"]))
-    return spelled, F.array_join(F.concat(kept, F.array(F.element_at(gaps, -1))), "")
+    starts = F.filter(hit, lambda x, i: (i == 0) | (F.get(hit, i - 1) != x - 1))
+    ends = F.filter(hit, lambda x, i: (i == F.size(hit) - 1) | (F.get(hit, i + 1) != x + 1))
+    # Before each run of hit words, and after the last one: the words since the run before, then the gap in front.
+    both = F.array(F.struct(gaps.alias("gaps"), spelled.alias("words"), starts.alias("starts"), ends.alias("ends")))
+
+    def rest(x: Column) -> Column:
+        def part(k: Column) -> Column:
+            first = F.when(k == 0, F.lit(0)).otherwise(F.get(x["ends"], k - 1) + 1)
+            n = F.coalesce(F.get(x["starts"], k), F.size(x["words"])) - first
+            said = F.zip_with(F.slice(x["gaps"], first + 1, n), F.slice(x["words"], first + 1, n), lambda g, w: F.concat(g, w))
+            return F.concat(F.array_join(said, ""), F.get(x["gaps"], first + n))
+
+        return F.struct(F.size(x["words"]).alias("n"), F.array_join(F.transform(F.sequence(F.lit(0), F.size(x["starts"])), part), "").alias("rest"))
+
+    made = F.element_at(F.transform(both, rest), 1)
+    return made["n"], made["rest"]
 
 
 def op10_decontamination(spark, sf_dir):
