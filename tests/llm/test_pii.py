@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import pytest
 
@@ -68,6 +69,56 @@ def test_added_spans_and_clean_texts(field):
     assert found[2:] == [([], []), ([], []), ([], [])]
 
 
+# Labelled by hand; [kind ...] marks a span. None of these sentences is in the labelled table.
+HELD_OUT = (
+    "ask for it: [email jane.miller (at) example.org] or in person",
+    "send all mail to [email office [at] harbour [dot] net] please",
+    "i am [email peter at lighthouse dot com] since may",
+    "und schreibe an [email info(at)beispiel.de] bis montag",
+    "dial [phone 415-555-2671] and wait",
+    "rufen sie [phone 030 555 1234] an",
+    "my new phone is [phone (020) 7946-0958] from now on",
+    "log of [ip 10[.]20[.]30[.]40] shows it",
+    "ping [ip 8[.]8[.]4[.]4] first",
+    "pay by card [card 4111.1111.1111.1111] at the desk",
+    "old card [card 5500/0000/0000/0004] expired",
+    "he stood at the door (at noon) and left",
+    "a dot at the end of line 12 is wrong",
+    "in 1998 and 2003 the river rose 12.5 metres",
+    "invoice 2021-004512 of 3 may, 1,250,000 in all",
+    "serial 4111.1111.1111.1112 was printed",
+    "chapter 4.2.1 on page 310 of 1024",
+    "build 2023.10.04.1199 was tagged at 14:05",
+    "isbn 978-3-16-148410-0 in print",
+    "key 0f3a9c77e1b24d55 is no secret",
+)
+
+
+def test_added_spans_on_a_held_out_set(field):
+    right = wrong = there = 0
+    for line in HELD_OUT:
+        text, want, at = "", [], 0
+        for m in re.finditer(r"\[(email|ip|card|phone) ((?:[^\[\]]|\[[^\]]*\])*)\]", line):
+            text += line[at : m.start()]
+            want.append((len(text), pii.KINDS.index(m[1]), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        text += line[at:]
+        base, added = pii.find([text], field)[0]
+        got = {*base, *added}
+        right, wrong, there = right + len(got & set(want)), wrong + len(got - set(want)), there + len(want)
+    print(f"held out: {right} of {there} found, {wrong} wrong")
+    assert right >= 0.8 * there and wrong <= 1
+
+
+def test_a_text_of_200_000_numbers(field):
+    text = "0" * 5000 + ".1.1.1 " + "17 " * 200_000 + "call 555-123-4567 now"
+    tracemalloc.start()
+    (base, added), *_ = pii.find([text] + ["see page 12 of 3"] * 50, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert said(base) == ["ip:0:5006"] and peak < 250e6
+
+
 def test_whole_operator(spark, field):
     rows = [(1, "me@x.org at 10.0.0.1", "x"), (None, None, "x"), (2, "", "x"), (2, "", "x"), (3, "plain text", "x"), (4, "w " * 200_000 + "me@x.org", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, clean string")

@@ -2,7 +2,7 @@
 word-shape features for what the formats miss.
 
 The field is trained on the driver from a small labelled table and decoded by Viterbi over numpy
-batches. Only words near one with a digit or an @ are decoded: nothing else can hold such data.
+batches. Only words near one with a digit, an @ or the like written out are decoded: nothing else can hold such data.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +62,7 @@ def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind that pass its test, by start, then kind."""
     out = [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups())]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(d := g.lstrip("0")) <= 3 and int(d or 0) <= 255 for g in m.groups())]
         for m in _CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m[0])
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -116,8 +118,21 @@ LABELLED = (
     "between ###,### and #,###,### people",
     "isbn ###-#-##-######-# is out of print",
     "model ??-#### with ## ports",
+    "write to [email ?????(at)??????.com] for help",
+    "write to [email ????.????? (at) ?????.org] or call",
+    "mail me: [email ???? [at] ?????? [dot] net] any time",
+    "my address is [email ????? at ?????? dot com] as before",
+    "you reach [email ????.???? at ????? dot org] by mail",
+    "we met (at) the gate and left at noon",
+    "a dot on the map at ????? marks the spot",
+    "the host [ip ##[.]###[.]#[.]##] was blocked",
+    "from [ip ###[.]##[.]###[.]###] came ## calls",
+    "card no. [card ####.####.####.####] was kept",
+    "my card is [card ####/####/####/####] so far",
+    "number [phone ##########] rings at home",
+    "phone [phone ### ### ####] after ## or [phone ##-##-##-##-##] before",
 )
-_SLOT = re.compile(r"\[(\w+) ([^\]]*)\]")
+_SLOT = re.compile(r"\[(email|ip|card|phone) ((?:[^\[\]]|\[[^\[\]]*\])*)\]")
 COPIES = 6
 
 
@@ -138,7 +153,7 @@ def labelled_rows(sentences: tuple[str, ...] = LABELLED, copies: int = COPIES, s
                     digits = re.sub("[^0-9]", "", body)
                     body = body[:-1] + next(str(d) for d in range(10) if luhn(digits[:-1] + str(d)))
                 if m[1] == "ip":
-                    body = ".".join(str(int(x) % 256) for x in body.split("."))
+                    body = re.sub("[0-9]+", lambda x: str(int(x[0]) % 256), body)
                 spans.append((len(text), KINDS.index(m[1]), len(text) + len(body)))
                 text += body
                 at = m.end()
@@ -151,6 +166,7 @@ def labelled_rows(sentences: tuple[str, ...] = LABELLED, copies: int = COPIES, s
 LABELS = 1 + 2 * len(KINDS)  #: outside; begin and inside of each kind
 FEATURES = 1 << 12
 _SLOTS = 14
+_CELLS = 32_768  #: words of a padded batch of sequences
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPES = str.maketrans({**{chr(c): "d" for c in range(48, 58)}, **{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}})
 _RUNS = re.compile(r"(.)\1+")
@@ -190,13 +206,18 @@ class Field:
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
         at = 0
         while at < len(order):
-            batch = order[at : at + 512]
-            at += len(batch)
+            # As many as keep the padded batch small; a longer sequence stands alone.
+            size = 1
+            while at + size < len(order) and (size + 1) * len(sequences[order[at + size]]) <= _CELLS:
+                size += 1
+            batch = order[at : at + size]
+            at += size
             most = len(sequences[batch[-1]])
             lengths = np.array([len(sequences[i]) for i in batch])
             score = np.zeros((len(batch), most, LABELS))
             for k, i in enumerate(batch):
-                score[k, : lengths[k]] = self.emit[sequences[i]].sum(1)
+                for slot in range(_SLOTS):
+                    score[k, : lengths[k]] += self.emit[sequences[i][:, slot]]
             best = score[:, 0] + self.first
             back = np.zeros((len(batch), most, LABELS), np.int8)
             for t in range(1, most):
@@ -275,23 +296,30 @@ def train(rows: list[tuple[str, list[Span]]], steps: int = 120, rate: float = 0.
 
 
 _NEAR = 4
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[{]\x20?(?:at|AT)\x20?[)\]}]|\b(?:dot|DOT)\b")
 _EDGE = "\"'.,;:!?<>[]{}"
+_WRITTEN_OUT = re.compile(
+    r"[\w.%+-]+\x20?(?:@|[(\[{]\x20?at\x20?[)\]}])\x20?[\w-]+(?:\x20?(?:\.|[(\[{]\x20?dot\x20?[)\]}]|\x20dot\x20)\x20?[\w-]+)+"
+    r"|[\w.%+-]+\x20at\x20[\w-]+(?:\x20dot\x20[\w-]+)+",
+    re.I,
+)
+_HIDDEN_IP = re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\x20dot\x20)[0-9]{1,3}){3}")
 
 
 def _passes(kind: int, body: str) -> bool:
+    """Whether a span that the field found has what its kind needs, however it's written."""
     digits = re.sub("[^0-9]", "", body)
     if kind == 0:
-        return re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", body) is not None
+        return re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", body) is not None or _WRITTEN_OUT.fullmatch(body) is not None
     if kind == 1:
-        return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", body) is not None
+        return _HIDDEN_IP.fullmatch(body) is not None and all(int(x) <= 255 for x in re.findall("[0-9]+", body))
     if kind == 2:
-        return 12 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9 -]+", body) is not None
-    return 9 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9() .-]+", body) is not None and re.search("[() .+-]", body) is not None
+        return 12 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", body) is not None
+    return 9 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9() ./-]+", body) is not None
 
 
 def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Word spans around each word with a digit or @, _NEAR words to both sides, joined where they touch."""
+    """Word spans around each trigger, _NEAR words to both sides, joined where they touch."""
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     near = np.zeros(len(tokens) + 1, np.int64)
     starts = np.array([a for a, _ in tokens])
@@ -311,33 +339,53 @@ def find(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[S
     """(base spans, spans that the field adds) of each text; an added span overlaps no base span and has its kind's characters."""
     base = [base_spans(t) if t else [] for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
-    owners, tokens, features = [], [], []
+    owners: list[int] = []
+    tokens: list[list[tuple[int, int]]] = []
+
+    def decoded() -> None:
+        features = [token_features([texts[n][a:b] for a, b in s]) for n, s in zip(owners, tokens, strict=True)]
+        for n, s, labels in zip(owners, tokens, field.decode(features), strict=True):
+            added[n] += _read_off(texts[n], s, labels, base[n])
+        owners.clear()
+        tokens.clear()
+
+    held = 0
     for n, t in enumerate(texts):
         if t and _TRIGGER.search(t):
             for s in stretches(t):
                 owners.append(n)
                 tokens.append(s)
-                features.append(token_features([t[a:b] for a, b in s]))
-    for n, s, labels in zip(owners, tokens, field.decode(features), strict=True):
-        i, text = 0, texts[n]
-        while i < len(s):
-            if labels[i] % 2 == 1:
-                kind, j = int(labels[i]) // 2, i + 1
-                while j < len(s) and labels[j] == labels[i] + 1:
-                    j += 1
-                a, b = s[i][0], s[j - 1][1]
-                while a < b and text[a] in _EDGE:
-                    a += 1
-                while b > a and text[b - 1] in _EDGE:
-                    b -= 1
-                if _passes(kind, text[a:b]) and not any(x < b and a < y for x, _, y in base[n]):
-                    added[n].append((a, kind, b))
-                i = j
-            else:
-                i += 1
+                held += len(s)
+                if held >= 4 * _CELLS:
+                    decoded()
+                    held = 0
+    decoded()
     return list(zip(base, added, strict=True))
 
 
+def _read_off(text: str, s: list[tuple[int, int]], labels: np.ndarray, base: list[Span]) -> list[Span]:
+    starts, ends = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
+    out, i = [], 0
+    while i < len(s):
+        if labels[i] % 2 == 0:
+            i += 1
+            continue
+        kind, j = int(labels[i]) // 2, i + 1
+        while j < len(s) and labels[j] == labels[i] + 1:
+            j += 1
+        a, b = s[i][0], s[j - 1][1]
+        while a < b and text[a] in _EDGE:
+            a += 1
+        while b > a and text[b - 1] in _EDGE:
+            b -= 1
+        # Of the base spans that start before its end, none may end behind its start.
+        before = bisect_left(starts, b)
+        if _passes(kind, text[a:b]) and not (before and ends[before - 1] > a):
+            out.append((a, kind, b))
+        i = j
+    return out
+
+
 def _said(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
