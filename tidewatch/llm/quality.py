@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = known.where(hash_share(F.col(doc_id), most, known.count()))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     # About `most` rows of two numbers: safe to broadcast.
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), "_id").select(F.xxhash64("_id").alias("h"), "_label", "_text")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), "_id").select(F.xxhash64("_id", "_text").alias("h"), "_label", "_text")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,11 +176,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             bags = [x[i:j].astype(np.float32).tobytes() for i, j in zip(cut[:-1], cut[1:])]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(bags, pa.binary())], ["h", "label", "bag"])
 
-    fitted = written(arrow_map(rows, reduce, "h long, label int, bag binary"), "bags")
+    # Rows that repeat id and text count once.
+    fitted = written(arrow_map(rows, reduce, "h long, label int, bag binary").dropDuplicates(["h"]), "bags")
     there = fitted.agg(F.count("*").alias("n"), F.sum(F.length("bag")).alias("size")).first()
     found = (there.size or 0) // (4 * (12 + HASHED))
-    if found > MOST_FITTED_PASSAGES:
-        fitted = fitted.where(hash_share(F.col("h"), there.n * MOST_FITTED_PASSAGES // found, there.n))
+    # Different texts of one id could still be many, or long.
+    taken = min(2 * most, there.n * MOST_FITTED_PASSAGES // max(1, found))
+    fitted = fitted.where(hash_share(F.col("h"), taken, there.n))
     got = fitted.toPandas().sort_values(["h", "bag"], ignore_index=True)
     if got.label.nunique() < 2:
         return None
