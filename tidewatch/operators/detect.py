@@ -371,9 +371,9 @@ def ratio_quantile(df: DataFrame, q: float = 0.95, accuracy: int = 1000) -> Data
     return df.withColumn("p95", F.percentile_approx("flow_ratio", q, accuracy).over(seen))
 
 
-def exfil_candidates(conn: DataFrame, quantile: bool = True, mib: int = 1 << 20) -> DataFrame:
+def exfil_candidates(conn: DataFrame, quantile: bool = True, mib: int = 1 << 20, accuracy: int = 1000) -> DataFrame:
     df = exfil_windows(conn)
-    df = ratio_quantile(df) if quantile else df.withColumn("p95", F.lit(0.0))
+    df = ratio_quantile(df, accuracy=accuracy) if quantile else df.withColumn("p95", F.lit(0.0))
     outside = scalar.is_external_ip("dst_ip")
     wide = (F.col("ratio_60") >= 5) & (F.col("out_60") >= 5 * mib)
     odd = (F.col("p95") <= 0) | (F.col("ratio_60") >= 3 * F.col("p95")) | (F.col("flows_seen") < 10)
