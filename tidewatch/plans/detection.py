@@ -218,21 +218,11 @@ def norm_ssl(spark, d):
 
 
 @query(with_views("""+
-f AS (SELECT dst_ip, event_id, list(dst_port) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS ports FROM conn),
+f AS (SELECT dst_ip, event_id, list(dst_port) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS ports FROM conn),
 c AS (SELECT dst_ip, event_id, len(ports) AS n, (SELECT sum(c * log2(c)) FROM (SELECT count(*) AS c FROM (SELECT unnest(ports) AS p) GROUP BY p)) AS s FROM f)
 SELECT dst_ip, event_id, CASE WHEN n > 1 THEN round(log2(n) - s / n, 4) ELSE 0.0 END AS port_entropy,
   round(CASE WHEN n > 1 THEN least(1.0, round(log2(n) - s / n, 4) / log2(least(n, 65536))) ELSE 0.0 END, 4) AS normalized_entropy FROM c""", "conn"))
 def ddos_entropy_rows(spark, d):
-    return detect.port_entropy(telemetry.conn(spark, d), 100).select("dst_ip", "event_id", "port_entropy", "normalized_entropy")
-
-
-def _whole_window(name: str) -> str:
-    """The SQL of a query over the last 100 flows of a target, for the last 500 that the detector looks at."""
-    return ORACLES[name].replace("BETWEEN 99 PRECEDING", "BETWEEN 499 PRECEDING")
-
-
-@query(_whole_window("ddos_entropy_rows"))
-def ddos_entropy_rows_500(spark, d):
     return detect.port_entropy(telemetry.conn(spark, d)).select("dst_ip", "event_id", "port_entropy", "normalized_entropy")
 
 
@@ -282,20 +272,14 @@ def ddos_rates(spark, d):
 
 
 @query(with_views(f"""+{_RATES},
-w AS (SELECT dst_ip, event_id, list(dst_port) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS ports,
-  round(avg(CASE WHEN conn_state IN ('S0', 'REJ', 'RSTOS0') THEN 1 ELSE 0 END) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS syn FROM conn),
+w AS (SELECT dst_ip, event_id, list(dst_port) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS ports,
+  round(avg(CASE WHEN conn_state IN ('S0', 'REJ', 'RSTOS0') THEN 1 ELSE 0 END) OVER (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 4) AS syn FROM conn),
 h AS (SELECT *, len(ports) AS n, CASE WHEN len(ports) > 1 THEN round(log2(len(ports)) - (SELECT sum(c * log2(c)) FROM (SELECT count(*) AS c FROM (SELECT unnest(ports) AS p) GROUP BY p)) / len(ports), 4) ELSE 0.0 END AS h FROM w),
 j AS (SELECT *, round(CASE WHEN n > 1 THEN least(1.0, h / log2(least(n, 65536))) ELSE 0.0 END, 4) AS hn FROM h JOIN rated USING (dst_ip, event_id)),
 r AS (SELECT *, CASE WHEN (rate >= 40 OR (rate >= 20 AND z >= 3)) AND (h < 1.2 OR hn < 0.20) THEN 1 WHEN (rate >= 20 OR (rate >= 8 AND z >= 2.4)) AND syn >= 0.50 THEN 2 WHEN (rate >= 40 OR (rate >= 20 AND z >= 3)) AND hn >= 0.85 THEN 3 END AS rule FROM j)
 SELECT dst_ip, event_id, CASE rule WHEN 2 THEN 'protocol_ddos' ELSE 'volumetric_ddos' END AS threat_class, CASE rule WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
   round(CASE rule WHEN 1 THEN least(0.99, 0.85 + CASE WHEN z > 5 THEN 0.14 ELSE 0.08 END) WHEN 2 THEN least(0.98, 0.88 + CASE WHEN syn >= 0.9 THEN 0.10 ELSE 0.05 END) ELSE least(0.95, 0.82 + CASE WHEN z > 5 THEN 0.10 ELSE 0.05 END) END, 4) AS confidence FROM r WHERE rule IS NOT NULL""", "conn"))
 def ddos_rules(spark, d):
-    df = detect.ddos_candidates(telemetry.conn(spark, d), rows=100, high=40.0, low=20.0, half_open_least=0.50)
-    return df.select("dst_ip", "event_id", "found.threat_class", "found.severity", "found.confidence")
-
-
-@query(_whole_window("ddos_rules"))
-def ddos_rules_500(spark, d):
     df = detect.ddos_candidates(telemetry.conn(spark, d), high=40.0, low=20.0, half_open_least=0.50)
     return df.select("dst_ip", "event_id", "found.threat_class", "found.severity", "found.confidence")
 
