@@ -50,3 +50,48 @@ def test_odd_rows(spark):
     assert quality.fit(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) is None
     assert all(r.score == 0.5 for r in quality.score(df, None).collect())
     assert quality.score(df.where("false"), None).count() == 0
+
+
+def by_hand(model, bag):
+    """The score of one bag, passage by passage."""
+    encode, shift, v, u, a, c, bias = model.params
+    hs, raws = [], []
+    for x in bag:
+        h = np.tanh(((x - model.mean) / model.scale) @ encode + shift)
+        gate = np.tanh(h @ v) / (1 + np.exp(-(h @ u)))
+        hs.append(h)
+        raws.append(np.exp(gate @ a))
+    z = sum(r / sum(raws) * h for r, h in zip(raws, hs, strict=True))
+    return 1 / (1 + np.exp(-(z @ c + bias[0])))
+
+
+def small():
+    rng = np.random.default_rng(1)
+    of = np.repeat(np.arange(6), [1, 3, 2, 5, 1, 4])
+    return rng.normal(size=(len(of), 7)), of, np.array([0, 1, 1, 0, 1, 0.0])
+
+
+def test_scores_equal_a_count_by_hand():
+    x, of, label = small()
+    model = quality.train(x, of, label, steps=20)
+    want = [by_hand(model, x[of == b]) for b in range(6)]
+    assert np.allclose(model.scores(x, of), want)
+
+
+def test_slopes_equal_differences():
+    x, of, label = small()
+    model = quality.train(x, of, label, steps=5)
+    xs, starts, weight = (x - model.mean) / model.scale, np.flatnonzero(np.diff(of, prepend=-1)), np.array([0.3, 0.1, 0.2, 0.1, 0.1, 0.2])
+
+    def loss():
+        p = model.scores(x, of)
+        return -(weight * (label * np.log(p) + (1 - label) * np.log(1 - p))).sum()
+
+    for p, slope in zip(model.params, quality.slopes(model, xs, starts, of, label, weight), strict=True):
+        for at in np.ndindex(p.shape):
+            was = p[at]
+            p[at] = was + 1e-5
+            up = loss()
+            p[at] = was - 1e-5
+            assert abs((up - loss()) / 2e-5 - slope[at]) < 1e-6
+            p[at] = was

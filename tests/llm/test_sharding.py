@@ -1,6 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from tidewatch.llm.sharding import Splitting, shard_documents
+from tidewatch.llm.sharding import Splitting, place_of, shard_documents
 
 
 def check(rows, got, shards):
@@ -30,3 +31,22 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check(rows, shard_documents(df, 3).collect(), 3)
     assert shard_documents(df.where("false"), 3).count() == 0
+
+
+def test_shards_are_ranges_of_places_cut_where_sizes_say(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "copy" if i % 3 == 0 else "x" * int(rng.integers(0, 200)) + str(i % 700)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = df.withColumn("place", place_of(F.col("text"), F.col("doc_id")))
+    got = shard_documents(placed, 5, options=Splitting(ranges=256, sample=1024)).collect()
+    # In order of shard and slot, places only grow, and each shard ends within a range's size of its share.
+    line = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.place for r in line] == sorted(r.place for r in got)
+    total, at = sum(r["size"] for r in got), 0
+    for k, r in enumerate(line[:-1]):
+        at += r["size"]
+        if line[k + 1].shard != r.shard:
+            assert abs(at - total * (r.shard + 1) / 5) <= 2 * total / 256 + 210
+    # Equal texts stand together.
+    copies = [k for k, r in enumerate(line) if r.text == "copy"]
+    assert copies == list(range(copies[0], copies[0] + len(copies)))

@@ -114,6 +114,22 @@ class Attention:
         return self._forward((x - self.mean) / self.scale, starts, of)["p"]
 
 
+def slopes(model: Attention, xs: np.ndarray, starts: np.ndarray, of: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the bags' log loss, weighted, by each of the model's parameters."""
+    _, _, v, u, a, c, _ = model.params
+    f = model._forward(xs, starts, of)
+    out = (f["p"] - label) * weight
+    dz = out[:, None] * c
+    dh = f["weight"][:, None] * dz[of]
+    dweight = (f["h"] * dz[of]).sum(1)
+    draw = f["weight"] * (dweight - np.add.reduceat(f["weight"] * dweight, starts)[of])
+    dgate = draw[:, None] * a
+    dtv, dsu = dgate * f["su"] * (1 - f["tv"] ** 2), dgate * f["tv"] * f["su"] * (1 - f["su"])
+    dh += dtv @ v.T + dsu @ u.T
+    dpre = dh * (1 - f["h"] ** 2)
+    return [xs.T @ dpre, dpre.sum(0), f["h"].T @ dtv, f["h"].T @ dsu, (f["tv"] * f["su"]).T @ draw, f["z"].T @ out, np.array([out.sum()])]
+
+
 def train(x: np.ndarray, of: np.ndarray, label: np.ndarray, steps: int = 150, rate: float = 0.03, width: int = 12, gate: int = 8, decay: float = 1e-4, seed: int = 3) -> Attention:
     """Adam steps on the mean log loss over all bags; both labels weigh the same within a factor of 3."""
     rng = np.random.default_rng(seed)
@@ -128,19 +144,7 @@ def train(x: np.ndarray, of: np.ndarray, label: np.ndarray, steps: int = 150, ra
     weight = np.where(label == 1, min(1.0, 3 * (1 - share) / share), min(1.0, 3 * share / (1 - share)))
     weight = weight / weight.sum()
     for step in range(1, steps + 1):
-        encode, shift, v, u, a, c, bias = params
-        f = model._forward(xs, starts, of)
-        out = (f["p"] - label) * weight
-        dz = out[:, None] * c
-        dh = f["weight"][:, None] * dz[of]
-        dweight = (f["h"] * dz[of]).sum(1)
-        draw = f["weight"] * (dweight - np.add.reduceat(f["weight"] * dweight, starts)[of])
-        dgate = draw[:, None] * a
-        dtv, dsu = dgate * f["su"] * (1 - f["tv"] ** 2), dgate * f["tv"] * f["su"] * (1 - f["su"])
-        dh += dtv @ v.T + dsu @ u.T
-        dpre = dh * (1 - f["h"] ** 2)
-        slopes = [xs.T @ dpre, dpre.sum(0), f["h"].T @ dtv, f["h"].T @ dsu, (f["tv"] * f["su"]).T @ draw, f["z"].T @ out, np.array([out.sum()])]
-        for p, g, (m, s) in zip(params, slopes, moments, strict=True):
+        for p, g, (m, s) in zip(params, slopes(model, xs, starts, of, label, weight), moments, strict=True):
             g = g + decay * p
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
