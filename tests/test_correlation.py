@@ -136,3 +136,12 @@ def test_service(spark):
     assert service.list_incidents(severity="critical").count() == 1
     alerts = api.detect_all(*scenarios.rehearsal(spark).values())
     assert {"portscan_hll", "dga_tunneling", "ja4_malware", "c2_beaconing"} <= {r.detector_name for r in alerts.select("detector_name").distinct().collect()}
+
+
+def test_long_storms_and_incidents_keep_the_least_samples(spark):
+    rows = [(i, (100 - i) * 1000, "10.0.0.9", "t", 80, "tcp", "port_scan", "scan", 0.5, "LOW") for i in range(100)]
+    df = spark.createDataFrame(rows, "event_id long, us long, source_ip string, target_ip string, target_port int, protocol string, threat_class string, detector_name string, confidence double, severity string")
+    storm = cep.storms(df.withColumn("allowed", F.col("us") == 1000)).collect()
+    assert [(r.n, r.sample_ids) for r in storm] == [(99, list(range(20)))]
+    (found,) = cep.incidents(df).collect()
+    assert [t.event_id for t in found.attack_timeline] == list(range(99, 49, -1)) and found.raw_alert_count == 100

@@ -42,13 +42,15 @@ def storms(limited: DataFrame, key: str = "source_ip") -> DataFrame:
     runs = limited.withColumn("run", F.sum(F.col("allowed").cast("int")).over(own)).where("not allowed")
     per_second = runs.groupBy(key, "run", F.expr(f"us div {SECOND}").alias("s")).agg(F.count("*").alias("in_second"))
     peaks = per_second.groupBy(key, "run").agg(F.max("in_second").alias("peak_pps"))
-    out = runs.groupBy(key, "run").agg(
+    # Only the least ids are gathered, so a long storm is no long array.
+    nth = F.row_number().over(Window.partitionBy(key, "run").orderBy(F.col("event_id").asc_nulls_last()))
+    out = runs.withColumn("nth", nth).groupBy(key, "run").agg(
         F.count("*").alias("n"),
         F.greatest(F.lit(0.1), (F.max("us") - F.min("us")) / float(SECOND)).alias("duration"),
         F.min("threat_class").alias("primary_threat"),
         F.min("us").alias("started_us"),
         F.max("us").alias("ended_us"),
-        F.slice(F.array_sort(F.collect_list("event_id")), 1, 20).alias("sample_ids"),
+        F.array_sort(F.collect_list(F.when(F.col("nth") <= 20, F.col("event_id")))).alias("sample_ids"),
     )
     return out.join(peaks, [key, "run"]).withColumn("dropped", F.greatest(F.lit(0), F.col("n") - 10))
 
@@ -138,7 +140,9 @@ def incidents(alerts: DataFrame, seconds: int = 60) -> DataFrame:
     """One incident per source and window of the alerts that the bucket allowed, from sessions; human approval is always required."""
     df = alerts.withColumns({"window": F.expr(f"us div {seconds * SECOND}"), "stage": scalar.fusion_stage(F.col("threat_class"), F.col("detector_name"))})
     order = F.array(*map(F.lit, fixed.STAGES))
-    g = df.groupBy("source_ip", "window").agg(
+    told = ("us", "event_id", "detector_name", "threat_class", "confidence", "severity")
+    nth = F.row_number().over(Window.partitionBy("source_ip", "window").orderBy(*told))
+    g = df.withColumn("_nth", nth).groupBy("source_ip", "window").agg(
         F.count("*").alias("raw_alert_count"),
         F.product(1 - F.col("confidence")).alias("_p"),
         F.sort_array(F.collect_set("detector_name")).alias("participating_detectors"),
@@ -149,7 +153,7 @@ def incidents(alerts: DataFrame, seconds: int = 60) -> DataFrame:
         F.max(scalar.severity_rank(F.col("severity"))).alias("_rank"),
         F.min("us").alias("created_us"),
         F.max("us").alias("updated_us"),
-        F.slice(F.array_sort(F.collect_list(F.struct("us", "event_id", "detector_name", "threat_class", "confidence", "severity"))), 1, 50).alias("attack_timeline"),
+        F.array_sort(F.collect_list(F.when(F.col("_nth") <= 50, F.struct(*told)))).alias("attack_timeline"),
     )
     detectors, stages = F.size("participating_detectors"), F.size("_stages")
     several = (stages >= 2) | (detectors >= 2)

@@ -115,29 +115,6 @@ def rate_by_second(conn: DataFrame) -> DataFrame:
     return conn.groupBy("dst_ip", F.expr(f"us div {SECOND}").alias("second")).agg(F.sum("orig_pkts").alias("pkts"))
 
 
-def moving_rate(conn: DataFrame, alpha: float = 0.08) -> DataFrame:
-    """For each (target, second): what the seconds before left behind, as rate (of the last complete second), ewma and var.
-
-    Mean and variance follow from each other second by second; a target's seconds are folded in order.
-    """
-    per = rate_by_second(conn).groupBy("dst_ip").agg(F.array_sort(F.collect_list(F.struct("second", F.col("pkts").cast("double").alias("pkts")))).alias("xs"))
-    state = "struct<second:bigint,rate:double,ewma:double,var:double>"
-    first = F.struct(F.lit(None).cast("bigint").alias("second"), F.lit(0.0).alias("pkts"), F.lit(0.0).alias("rate"), F.lit(0.0).alias("ewma"), F.lit(1.0).alias("var"), F.lit(0).alias("n"), F.array().cast(f"array<{state}>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        is_first = a["n"] == 0
-        measured = a["pkts"] / F.greatest(F.lit(1), x["second"] - a["second"])
-        diff = measured - a["ewma"]
-        second_sample = a["n"] == 1
-        ewma = F.when(is_first, x["pkts"]).when(second_sample, measured).otherwise(a["ewma"] + alpha * diff)
-        var = F.when(is_first, F.lit(1.0)).when(second_sample, F.greatest(F.lit(1.0), (measured * 0.1) * (measured * 0.1))).otherwise((1 - alpha) * (a["var"] + alpha * diff * diff))
-        rate = F.when(is_first, x["pkts"]).otherwise(measured)
-        own = F.struct(x["second"].alias("second"), rate.alias("rate"), ewma.alias("ewma"), var.alias("var"))
-        return F.struct(x["second"].alias("second"), x["pkts"].alias("pkts"), rate.alias("rate"), ewma.alias("ewma"), var.alias("var"), (a["n"] + 1).alias("n"), F.concat(a["out"], F.array(own)).alias("out"))
-
-    return per.select("dst_ip", F.explode(F.aggregate("xs", first, step, lambda a: a["out"])).alias("s")).select("dst_ip", "s.*")
-
-
 class MovingRate:
     """Packets a second against their moving mean and variance, event by event."""
 
@@ -166,6 +143,25 @@ class MovingRate:
         return instant, self.ewma, round((instant - self.ewma) / (math.sqrt(max(0.01, self.var)) + 1e-5), 4)
 
 
+class SecondRate(MovingRate):
+    """What the seconds before left behind, second by second."""
+
+    def __call__(self, second: int, pkts: int) -> tuple[float, float, float]:
+        super().__call__(second * SECOND, pkts)
+        return self.rate, self.ewma, self.var
+
+
+def moving_rate(conn: DataFrame, alpha: float = 0.08) -> DataFrame:
+    """For each (target, second): what the seconds before left behind, as rate (of the last complete second), ewma and var.
+
+    Mean and variance follow from each other second by second: packets are added up by second first, then a
+    target's seconds are scanned in order at a constant state, however many they are.
+    """
+    per = rate_by_second(conn).where("second is not null").withColumn("pkts", F.coalesce("pkts", F.lit(0)))
+    scanned = ordered.scan(per, ["dst_ip"], ["second"], ["second", "pkts"], "rate double, ewma double, var double", lambda: SecondRate(alpha))
+    return scanned.select("dst_ip", "second", "rate", "ewma", "var")
+
+
 RATES = "rate double, ewma double, z_score double"
 
 
