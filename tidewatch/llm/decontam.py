@@ -90,7 +90,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     Null and empty texts, and those without words, have no hits; so have all, if there are no
     items or none has words. Items are told apart by id; repeated items count once, repeated
     documents each. A null doc_id stays null; a null item_id is left out of `items`, while its
-    windows still hit. Other columns play no part.
+    windows still hit. Texts of any length are read whole; other columns play no part. Rows of one id
+    and text (by a 64-bit hash) share their hits.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = rows.withColumns({"_key": F.xxhash64("doc_id", "text"), "n_words": F.size(words_of(text_or_empty("text"))).cast("long")})
