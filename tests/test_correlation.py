@@ -1,11 +1,12 @@
 import json
 import re
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions import scalar
+from tidewatch.functions import fixed, scalar
 from tidewatch.operators import artifacts, cep, serving, triage
 from tidewatch.sources import scenarios
 
@@ -145,3 +146,54 @@ def test_long_storms_and_incidents_keep_the_least_samples(spark):
     assert [(r.n, r.sample_ids) for r in storm] == [(99, list(range(20)))]
     (found,) = cep.incidents(df).collect()
     assert [t.event_id for t in found.attack_timeline] == list(range(99, 49, -1)) and found.raw_alert_count == 100
+
+
+def test_sessions_keep_the_first_ids_and_all_techniques(spark):
+    rows = [(*alert(i, i * 1000)[:2], f"a{i % 250:03}", *alert(i, 0)[3:-1], None if i % 7 == 0 else f"f{i % 70:02}", f"T{i % 2}") for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA + ", mitre_technique string")
+    (got,) = cep.sessions(df).collect()
+    seen = lambda c: list(dict.fromkeys(r[c] for r in rows))
+    assert got.alert_ids == seen(2)[:200] and got.flow_ids == seen(-2)[:50] and None in got.flow_ids
+    assert got.mitre_techniques == ["T0", "T1"] and got.occurrence_count == 600
+    assert cep.sessions(df.drop("mitre_technique")).first().mitre_techniques == []
+
+
+def test_triage_of_a_long_incident_equals_a_count_by_hand(spark):
+    rows = [("I", i, i * 500_000, f"a{i}", "portscan_hll" if i % 3 else "exfil_ratio", "PORT_SCAN_RECON" if i % 3 else "DATA_EXFILTRATION", 0.5 + i % 40 / 100, "10.0.0.10", f"10.9.9.{i % 5}", i % 4) for i in range(120)]
+    df = spark.createDataFrame(rows, "incident_id string, event_id long, us long, alert_id string, detector_name string, threat_class string, confidence double, source_ip string, target_ip string, target_port int")
+    (got,) = triage.triage(df).collect()
+    assert (got.alerts, got.threats, got.updated_us, got.classes, got.multi_stage) == (120, 2, 119 * 500_000, ["DATA_EXFILTRATION", "PORT_SCAN_RECON"], True)
+    assert got.target_ips == [f"10.9.9.{i}" for i in range(5)] and got.target_ports == [0, 1, 2, 3]
+    weights = [fixed.RISK_WEIGHT[t] for t in got.classes]
+    best = [max(r[6] for r in rows if r[5] == t) for t in got.classes]
+    assert got.base_risk_sum == pytest.approx(sum(round(w * c, 2) for w, c in zip(weights, best, strict=True)), abs=0.011)
+    assert got.technique_ids == sorted({r.technique_id for r in triage.timeline(df).collect()})
+    lines = [x for x in got.narrative.split("\n") if x.startswith("- T+")]
+    assert [x.split("s [")[0] for x in lines] == [f"- T+{i / 2:.1f}" for i in range(50)]
+    assert got.narrative == triage.narrative(df).first().narrative
+    one = triage.classified(df).first()
+    assert all(one[c] == got[c] for c in one.asDict())
+
+
+def test_domains_are_the_first_twenty(spark):
+    rows = [(f"I{i % 2}", 1000 - i, i, json.dumps({"query": f"h{i // 4:02}.example"} if i % 3 else {"ja4": f"fingerprint-{i:03}"})) for i in range(200)]
+    df = spark.createDataFrame(rows + [("I9", 1, 1, "{}")], "incident_id string, us long, event_id long, evidence string")
+    got = {r.incident_id: (r.domains, r.ja4) for r in triage.domains(df).collect()}
+    for k in ("I0", "I1"):
+        own = [json.loads(r[3]) for r in sorted(rows, key=lambda r: r[1:3]) if r[0] == k]
+        names = list(dict.fromkeys(e["query"] for e in own if "query" in e))
+        assert got[k] == (names[:20], next(e["ja4"] for e in own if "ja4" in e))
+    assert got["I9"] == ([], None)
+
+
+def test_replay_keeps_the_pace_of_the_data(spark, tmp_path):
+    from tidewatch.plans import api
+
+    rows = spark.createDataFrame([(i, 5_000_000 + i * 1_000_000) for i in range(40)], "event_id long, us long")
+    query = api.replay(rows, speed=20.0).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path)).start()
+    until = time.monotonic() + 60
+    while time.monotonic() < until and spark.table("replayed").count() < 40:
+        time.sleep(0.5)
+    query.stop()
+    got = spark.table("replayed").groupBy("replayed_at").agg(F.sort_array(F.collect_list("event_id")).alias("ids")).orderBy("replayed_at").collect()
+    assert [r.ids for r in got] == [list(range(20)), list(range(20, 40))]

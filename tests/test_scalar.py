@@ -1,6 +1,9 @@
+import base64
 import hashlib
 import ipaddress
 import math
+import struct
+import zlib
 from collections import Counter
 
 import pytest
@@ -82,6 +85,21 @@ def test_community_id_is_the_same_both_ways(spark):
     assert one(spark, there) == one(spark, back) == "1:LQU9qZlK+B5F3KDmev6m5PMibrg="
 
 
+def test_community_id_of_v6_flows(spark):
+    ends = [("fe80::200:86ff:fe05:80da", 135), ("FE80:0:0:0:260:97ff:fe07:69ea", 134)]
+    for (a, p), (b, q) in (ends, ends[::-1]):
+        low, high = sorted((ipaddress.ip_address(x).packed, y) for x, y in ends)
+        body = b"\0\0" + low[0] + high[0] + b"\x11\0" + struct.pack(">HH", low[1], high[1])
+        want = "1:" + base64.b64encode(hashlib.sha1(body).digest()).decode()
+        assert one(spark, scalar.community_id(F.lit(a), F.lit(p), F.lit(b), F.lit(q), F.lit("udp"))) == want
+    assert one(spark, scalar.community_id(F.lit("none"), F.lit(1), F.lit("::1"), F.lit(2), F.lit("tcp"))) is None
+
+
+@pytest.mark.parametrize("key", ["10.0.0.1", "", "fe80::1", "a" * 300])
+def test_partitions_are_those_of_crc32(spark, key):
+    assert one(spark, scalar.partition_of(F.lit(key), 4)) == zlib.crc32(key.encode()) % 4
+
+
 def test_tls_codes(spark):
     for high in range(16):
         assert one(spark, scalar.is_grease(F.lit(high * 0x1010 + 0x0A0A if high * 16 + 10 < 256 else 0x0A0A)))

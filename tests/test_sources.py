@@ -80,6 +80,20 @@ def test_packets(spark, tmp_path):
     assert len(got) == 6 and (got[1].src_ip, got[1].src_port, got[1].dst_port, got[1].ts, got[1].tcp_flags, got[1].proto) == ("10.0.0.1", 1001, 80, 101.5, 2, "tcp")
 
 
+def test_connections_of_packets(spark):
+    a, b, c = ("10.0.0.1", 1000), ("8.8.8.8", 80), ("10.0.0.2", 53)
+    rows = [(a, b, 0.0, 60, 2), (b, a, 0.1, 60, 18), (a, b, 0.2, 500, 16), (b, a, 1.0, 700, 16), (a, b, 100.0, 60, 2), (b, a, 100.5, 40, 20), (c, b, 3.0, 60, 2)]
+    packets = spark.createDataFrame([("x", n, float(t), *s, *d, "tcp", size, flags) for n, (s, d, t, size, flags) in enumerate(rows)] + [("x", 9, 5.0, *b, *c, "udp", 90, 0)], pcap.FIELDS)
+    got = pcap.connections(packets).orderBy("us").collect()
+    assert [(r.src_ip, r.dst_port, r.proto, round(r.duration, 3), r.orig_bytes, r.resp_bytes, r.orig_pkts, r.resp_pkts, r.conn_state) for r in got] == [
+        ("10.0.0.1", 80, "tcp", 1.0, 560, 760, 2, 2, "SF"),
+        ("10.0.0.2", 80, "tcp", 0.0, 60, 0, 1, 0, "S0"),
+        ("8.8.8.8", 53, "udp", 0.0, 90, 0, 1, 0, "S0"),
+        ("10.0.0.1", 80, "tcp", 0.5, 60, 40, 1, 1, "REJ"),
+    ]
+    assert len({r.uid for r in got}) == 4 and pcap.connections(packets.where("false")).count() == 0
+
+
 def test_keyed_state_equals_batch(spark):
     alerts = spark.createDataFrame([(i, i * 30_000, f"10.0.0.{i % 3}") for i in range(200)], "event_id long, us long, source_ip string")
     a = {(r.source_ip, r.event_id, r.allowed) for r in keyed(alerts, "source_ip", TokenBucket()).collect()}

@@ -367,14 +367,23 @@ def stix_id(kind: str, name: Column) -> Column:
     return F.concat(F.lit(kind + "--"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def ip_hex(ip: Column | str) -> Column:
+    """An address as hex digits, 8 of a v4 one and 32 of a v6 one, in the order of its bytes; null for others."""
+    ip = F.trim(_col(ip))
+    v4 = is_v4(ip) & (F.array_max(octets(ip)) <= 255)
+    groups = v6_groups(ip)
+    v6 = ip.contains(":") & ip.rlike("^[0-9A-Fa-f:]+$") & (F.size(groups) == 8)
+    return F.when(v4, F.lpad(F.lower(F.hex(ip_number(ip))), 8, "0")).when(v6, F.array_join(F.transform(groups, lambda x: F.lpad(x, 4, "0")), ""))
+
+
 def community_id(src: Column, src_port: Column, dst: Column, dst_port: Column, protocol: Column, seed: int = 0) -> Column:
-    """Community ID v1 of a v4 flow: 1: and base64 of SHA-1 over seed, ordered ends, protocol number and ports; the same in both directions."""
-    number = F.coalesce(F.try_element_at(either({"icmp": 1, "tcp": 6, "udp": 17, "sctp": 132}), F.lower(protocol)), F.lit(0))
-    a, b = ip_number(src), ip_number(dst)
+    """Community ID v1 of a v4 or v6 flow: 1: and base64 of SHA-1 over seed, ordered ends, protocol number and ports; the same in both directions, and null for what is no address."""
+    number = F.coalesce(F.try_element_at(either({"icmp": 1, "tcp": 6, "udp": 17, "icmp6": 58, "sctp": 132}), F.lower(protocol)), F.lit(0))
+    a, b = ip_hex(src), ip_hex(dst)
     forward = (a < b) | ((a == b) & (src_port <= dst_port))
     hexed = lambda n, w: F.lpad(F.hex(n.cast("long")), w, "0")
     pick = lambda x, y: F.when(forward, x).otherwise(y)
-    body = F.concat(F.lit(f"{seed:04x}"), hexed(pick(a, b), 8), hexed(pick(b, a), 8), hexed(number, 2), F.lit("00"), hexed(pick(src_port, dst_port), 4), hexed(pick(dst_port, src_port), 4))
+    body = F.concat(F.lit(f"{seed:04x}"), pick(a, b), pick(b, a), hexed(number, 2), F.lit("00"), hexed(pick(src_port, dst_port), 4), hexed(pick(dst_port, src_port), 4))
     return F.concat(F.lit("1:"), F.base64(F.unhex(F.sha1(F.unhex(body)))))
 
 

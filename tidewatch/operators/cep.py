@@ -60,12 +60,22 @@ def with_fingerprint(alerts: DataFrame) -> DataFrame:
 
 
 def sessions(alerts: DataFrame, gap: float = 5.0) -> DataFrame:
-    """One row per session of a fingerprint: alerts no more than `gap` seconds apart."""
+    """One row per session of a fingerprint: alerts no more than `gap` seconds apart, with the first ids and all techniques among them."""
     own = Window.partitionBy("fingerprint").orderBy("us", "event_id")
     df = with_fingerprint(alerts)
     new = F.coalesce((F.col("us") - F.lag("us").over(own) > int(gap * SECOND)).cast("int"), F.lit(1))
     df = df.withColumn("_new", new).withColumn("session", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    first = lambda c, n: F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", F.col(c).alias("v")))), lambda x: x["v"])), 1, n)
+    # Only a session's first different ids are gathered, so a long session is no long array.
+    kept = Window.partitionBy("fingerprint", "session").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    for c in ("flow_id", "alert_id"):
+        met = F.row_number().over(Window.partitionBy("fingerprint", "session", c).orderBy("us", "event_id"))
+        df = df.withColumn(f"_new_{c}", (met == 1).cast("int")).withColumn(f"_nth_{c}", F.sum(f"_new_{c}").over(kept))
+
+    def first(c: str, n: int) -> Column:
+        new = (F.col(f"_new_{c}") == 1) & (F.col(f"_nth_{c}") <= n)
+        return F.transform(F.array_sort(F.collect_list(F.when(new, F.struct(F.col(f"_nth_{c}").alias("n"), F.col(c).alias("v"))))), lambda x: x["v"])
+
+    technique = F.col("mitre_technique") if "mitre_technique" in alerts.columns else F.lit(None).cast("string")
     return df.groupBy("fingerprint", "session").agg(
         F.first("source_ip").alias("source_ip"),
         F.first("detector_name").alias("detector_name"),
@@ -79,6 +89,7 @@ def sessions(alerts: DataFrame, gap: float = 5.0) -> DataFrame:
         scalar.severity_name(F.max(scalar.severity_rank(F.col("severity")))).alias("severity"),
         first("flow_id", 50).alias("flow_ids"),
         first("alert_id", 200).alias("alert_ids"),
+        F.sort_array(F.collect_set(technique)).alias("mitre_techniques"),
     )
 
 

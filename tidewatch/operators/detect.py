@@ -410,6 +410,9 @@ class RecentFailures(Recent):
         return len(self.rows), self.failed, self.failed / len(self.rows)
 
 
+NAME_PARTS = 16  #: tasks that the queries of one name are dealt to
+
+
 def dns_features(dns: DataFrame) -> DataFrame:
     """dns with what the rules look at: subdomain, entropies, lengths, p, and queries and failures in the last 30 s (counted before any whitelist)."""
     failed = F.col("rcode_name") == "NXDOMAIN"
@@ -419,7 +422,10 @@ def dns_features(dns: DataFrame) -> DataFrame:
     names = names.withColumn("subdomain_entropy", scalar.shannon_entropy("subdomain"))
     df = ordered.scan_peers(dns, ["src_ip"], "us", ["rcode_name"], "queries_30 bigint, nx_30 bigint, nx_ratio_30 double", lambda: RecentFailures(30 * SECOND))
     df = df.withColumn("nx_ratio_30", F.round("nx_ratio_30", 4))
-    return df.join(names, "query", "left").withColumns({"q_len": F.length("query"), "sub_len": F.length("subdomain"), "is_nx": failed})
+    # A name that a third of all queries ask for meets its scores in several tasks.
+    names = names.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))))
+    df = df.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(NAME_PARTS)).cast("int"))
+    return df.join(names, ["query", "_part"], "left").drop("_part").withColumns({"q_len": F.length("query"), "sub_len": F.length("subdomain"), "is_nx": failed})
 
 
 def dns_scores(dns: DataFrame) -> DataFrame:
@@ -454,13 +460,17 @@ def dns_candidates(dns: DataFrame) -> DataFrame:
 
 def detect_dns(dns: DataFrame, cooldown: float = 5.0) -> DataFrame:
     df = cooled(dns_candidates(dns), ["src_ip", "query"], cooldown)
-    evidence = F.struct(F.col("query").alias("domain"), F.col("dga_prob").alias("onnx_dga_prob"), "subdomain", "subdomain_entropy", F.col("is_nx").alias("is_nxdomain"), F.col("qtype_name").alias("qtype"), F.col("nx_ratio_30").alias("nxdomain_ratio_30s"), F.col("q_len").alias("query_length"), F.col("sub_len").alias("subdomain_length"), F.col("subtypes").alias("detection_subtypes"))
+    evidence = F.struct(F.col("query").alias("domain"), F.col("dga_prob").alias("onnx_dga_prob"), "subdomain", "subdomain_entropy", F.col("is_nx").alias("is_nxdomain"), F.col("qtype_name").alias("qtype"), F.col("nx_ratio_30").alias("nxdomain_ratio_30s"), F.col("q_len").alias("query_length"), F.col("sub_len").alias("subdomain_length"), F.col("subtypes").alias("detection_subtypes"), *(["trans_id"] if "trans_id" in dns.columns else []))
     return as_alerts(df, "dga_tunneling", "src_ip", None, F.lit(53), "udp", evidence, F.col("found.detail"), F.lit(30.0))
 
 
 # --- E. TLS: known fingerprints, whitelists, handshake anomalies --------------------------------------
 
 
+#: Families by client and by server fingerprint (fingerprint, sig) and whitelisted client fingerprints (fingerprint, white_name), as sources.intel reads them.
+Feed = tuple[DataFrame, DataFrame, DataFrame]
+
+
 def families(spark, which: int):
     """(fingerprint, family, family_severity, family_confidence, technique) of client (4) or server (5) fingerprints; the last family of a fingerprint counts."""
     rows = [(f, n, name, severity, confidence, technique) for n, (name, severity, confidence, technique, *prints) in enumerate(fixed.FAMILIES) for f in prints[which - 4].split()]
@@ -516,21 +526,28 @@ def tls_scores(ssl: DataFrame) -> DataFrame:
     return ssl.withColumns({"s_cert": cert, "s_alpn": s_alpn, "s_sni": s_sni, "s_version": s_version, "s_cipher": s_cipher, "anomaly": F.round(total, 4), "fronting": fronting, "reasons": reasons})
 
 
-def tls_matches(ssl: DataFrame) -> DataFrame:
-    """ssl with the family of its client fingerprint, else of its server fingerprint, and whether the client's is whitelisted. The lists are fixed and small: broadcast."""
+def tls_matches(ssl: DataFrame, feed: Feed | None = None) -> DataFrame:
+    """ssl with the family of its client fingerprint, else of its server fingerprint, and whether the client's is whitelisted.
+
+    The library's own lists are fixed and small: broadcast. Those of a feed may be of any size, so the planner picks the join.
+    """
     spark = ssl.sparkSession
-    client, server = families(spark, 4), families(spark, 5)
-    white = spark.createDataFrame(list(fixed.BENIGN_JA4), "white_name string, fingerprint string")
+    if feed:
+        client, server, white = feed
+        broadcast = lambda df: df
+    else:
+        client, server, broadcast = families(spark, 4), families(spark, 5), F.broadcast
+        white = spark.createDataFrame(list(fixed.BENIGN_JA4), "white_name string, fingerprint string")
     df = ssl.withColumns({"_c": F.trim(F.coalesce("ja4", F.lit(""))), "_s": F.trim(F.coalesce("ja4s", F.lit("")))})
-    df = df.join(F.broadcast(client.select(F.col("fingerprint").alias("_c"), F.col("sig").alias("_by_client"))), "_c", "left")
-    df = df.join(F.broadcast(server.select(F.col("fingerprint").alias("_s"), F.col("sig").alias("_by_server"))), "_s", "left")
-    df = df.join(F.broadcast(white.select(F.col("fingerprint").alias("_c"), "white_name")), "_c", "left")
+    df = df.join(broadcast(client.select(F.col("fingerprint").alias("_c"), F.col("sig").alias("_by_client"))), "_c", "left")
+    df = df.join(broadcast(server.select(F.col("fingerprint").alias("_s"), F.col("sig").alias("_by_server"))), "_s", "left")
+    df = df.join(broadcast(white.select(F.col("fingerprint").alias("_c"), "white_name")), "_c", "left")
     sig = F.coalesce("_by_client", "_by_server")
     return df.withColumns({"sig": sig, "whitelisted": F.col("white_name").isNotNull()}).drop("_c", "_s", "_by_client", "_by_server", "white_name")
 
 
-def tls_candidates(ssl: DataFrame, threshold: float = 0.65) -> DataFrame:
-    df = tls_matches(tls_scores(ssl))
+def tls_candidates(ssl: DataFrame, threshold: float = 0.65, feed: Feed | None = None) -> DataFrame:
+    df = tls_matches(tls_scores(ssl), feed)
     s = F.col("anomaly")
     known, odd = F.col("sig").isNotNull(), (s >= threshold) & ~F.col("whitelisted")
     severity = F.when(known, F.col("sig.family_severity")).when(F.col("fronting"), "HIGH").when(s >= 0.85, "CRITICAL").when(s >= 0.75, "HIGH").otherwise("MEDIUM")
@@ -540,8 +557,8 @@ def tls_candidates(ssl: DataFrame, threshold: float = 0.65) -> DataFrame:
     return df.withColumn("found", found).where((known | F.col("fronting") | odd) & ~(F.col("whitelisted") & (s < 0.85)))
 
 
-def detect_tls(ssl: DataFrame, threshold: float = 0.65) -> DataFrame:
-    df = tls_candidates(ssl, threshold)
+def detect_tls(ssl: DataFrame, threshold: float = 0.65, feed: Feed | None = None) -> DataFrame:
+    df = tls_candidates(ssl, threshold, feed)
     evidence = F.struct(F.when(F.col("sig").isNotNull(), F.col("ja4")).alias("matched_ja4"), F.col("found.detail").alias("malware_family"), F.col("anomaly").alias("tls_anomaly_score"), F.col("reasons").alias("anomaly_reasons"), "version", "cipher", "server_name", "subject", "issuer", F.col("ja4").alias("observed_ja4"))
     return as_alerts(df, "ja4_malware", "src_ip", F.col("dst_ip"), F.col("dst_port"), "tcp", evidence, F.coalesce("sig.technique", F.lit("T1071.001")), F.lit(0.0))
 

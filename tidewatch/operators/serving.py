@@ -86,9 +86,10 @@ def rates(conn: DataFrame) -> DataFrame:
     return conn.agg(F.count("*").alias("events"), F.round(F.count("*") / span, 4).alias("eps"), F.round(F.sum("orig_bytes") * 8 / (span * 1e6), 4).alias("mbps"), F.round(100.0 * F.sum((F.col("conn_state") == "S0").cast("int")) / F.count("*"), 4).alias("lost_pct"))
 
 
-def moving_average(series: DataFrame, column: str, order: str, key: str | None = None, k: int = 2) -> DataFrame:
-    own = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    return series.withColumn("moving_avg", F.round(F.avg(column).over(own.orderBy(order).rowsBetween(-k, k)), 4))
+def moving_average(series: DataFrame, column: str, order: str, key: str, k: int = 2) -> DataFrame:
+    """series with the mean of each row's neighbours, k on either side, within its key."""
+    own = Window.partitionBy(key).orderBy(order).rowsBetween(-k, k)
+    return series.withColumn("moving_avg", F.round(F.avg(column).over(own), 4))
 
 
 def newest(rows: DataFrame, n: int = 30, order: str = "us", tie: str = "event_id") -> DataFrame:

@@ -48,20 +48,23 @@ def with_technique(df: DataFrame, key: str = "threat_class") -> DataFrame:
     return out.select("*", *(F.col(f"_t.{c}").alias(c) for c in known.columns[1:6]), F.coalesce("_t.matched_detector", F.col(key)).alias("matched_detector")).drop("_t")
 
 
-def risk_items(alerts: DataFrame, compat: bool = False) -> DataFrame:
-    """(incident, threat): the most confident alert's detector (the first of equals), its weight and weighted score."""
+def _items(alerts: DataFrame, compat: bool) -> DataFrame:
     df = alerts.withColumn("threat", canonical(F.col("threat_class"), compat))
-    best = df.groupBy("incident_id", "threat").agg(F.max("confidence").alias("max_confidence"), F.max_by("detector_name", F.struct("confidence", -F.col("us"), -F.col("event_id"))).alias("detector"))
+    best = df.groupBy("incident_id", "threat").agg(F.max("confidence").alias("max_confidence"), F.max_by("detector_name", F.struct("confidence", -F.col("us"), -F.col("event_id"))).alias("detector"), F.min("source_ip").alias("source_ip"))
     weight = F.coalesce(F.try_element_at(scalar.either(fixed.RISK_WEIGHT), F.col("threat")), F.lit(fixed.OTHER_WEIGHT))
     return best.withColumns({"base_weight": weight, "weighted_score": F.round(weight * F.col("max_confidence"), 2)})
 
 
+def risk_items(alerts: DataFrame, compat: bool = False) -> DataFrame:
+    """(incident, threat): the most confident alert's detector (the first of equals), its weight and weighted score."""
+    return _items(alerts, compat).drop("source_ip")
+
+
 def risk(alerts: DataFrame, compat: bool = False) -> DataFrame:
     """Per incident: sum of weighted scores, synergy of several threats, asset criticality, final score to 100 and severity."""
-    per = risk_items(alerts, compat).groupBy("incident_id").agg(F.round(F.sum("weighted_score"), 2).alias("base_risk_sum"), F.count("*").alias("threats"))
-    hosts = alerts.groupBy("incident_id").agg(F.min("source_ip").alias("source_ip"))
+    per = _items(alerts, compat).groupBy("incident_id").agg(F.round(F.sum("weighted_score"), 2).alias("base_risk_sum"), F.count("*").alias("threats"), F.min("source_ip").alias("source_ip"))
     synergy = F.when(F.col("threats") >= 3, 20.0).when(F.col("threats") == 2, 10.0).otherwise(0.0)
-    df = per.join(hosts, "incident_id").withColumn("asset_role", scalar.asset_role("source_ip"))
+    df = per.withColumn("asset_role", scalar.asset_role("source_ip"))
     df = df.withColumns({"synergy_bonus": synergy, "asset_criticality": scalar.criticality(F.col("asset_role"))})
     df = df.withColumn("risk_score", F.round(F.least(F.lit(100.0), (F.col("base_risk_sum") + F.col("synergy_bonus")) * F.col("asset_criticality")), 2))
     return df.withColumn("severity", risk_severity(F.col("risk_score")))
@@ -88,11 +91,29 @@ def intent(classes: Column) -> Column:
     )
 
 
+MOST_STEPS = 50  #: of an incident's timeline in its narrative
+
+
+def _told(alerts: DataFrame) -> DataFrame:
+    """All that triage says of an incident's alerts but the risk, from one pass over its timeline."""
+    said = F.concat(F.lit("- T+"), F.format_number("offset_sec", 1), F.lit("s ["), F.col("stage"), F.lit(" / "), F.col("technique_id"), F.lit("] "), F.col("detector_name"), F.lit(": "), step_summary(F.col("threat_class"), F.col("target_ip"), F.col("target_port")))
+    per = timeline(alerts).groupBy("incident_id").agg(
+        F.sort_array(F.collect_set("threat_class")).alias("classes"),
+        F.size(F.collect_set("stage")).cast("long").alias("stages"),
+        F.count("*").alias("alerts"),
+        F.sort_array(F.collect_set("technique_id")).alias("technique_ids"),
+        F.sort_array(F.collect_set("target_ip")).alias("target_ips"),
+        F.sort_array(F.collect_set("target_port")).alias("target_ports"),
+        F.min("us").alias("created_us"),
+        F.max("us").alias("updated_us"),
+        F.array_sort(F.collect_list(F.when(F.col("step") <= MOST_STEPS, F.struct("step", said.alias("line"))))).alias("steps"),
+    )
+    return per.withColumns({"multi_stage": (F.size("classes") >= 2) | (F.col("stages") >= 2), "intent": intent(F.col("classes"))})
+
+
 def classified(alerts: DataFrame) -> DataFrame:
     """Per incident: its classes, whether it has several stages, and its intent."""
-    df = timeline(alerts)
-    per = df.groupBy("incident_id").agg(F.sort_array(F.collect_set("threat_class")).alias("classes"), F.count_distinct("stage").alias("stages"), F.count("*").alias("alerts"))
-    return per.withColumns({"multi_stage": (F.size("classes") >= 2) | (F.col("stages") >= 2), "intent": intent(F.col("classes"))})
+    return _told(alerts).select("incident_id", "classes", "stages", "alerts", "multi_stage", "intent")
 
 
 def step_summary(threat: Column, target: Column, port: Column) -> Column:
@@ -109,21 +130,21 @@ def step_summary(threat: Column, target: Column, port: Column) -> Column:
     )
 
 
-def narrative(alerts: DataFrame) -> DataFrame:
-    """incident_id, narrative: a deterministic text of header, timeline, risk and next steps. Times come from the data."""
-    df = timeline(alerts).withColumn("line", F.concat(F.lit("- T+"), F.format_number("offset_sec", 1), F.lit("s ["), F.col("stage"), F.lit(" / "), F.col("technique_id"), F.lit("] "), F.col("detector_name"), F.lit(": "), step_summary(F.col("threat_class"), F.col("target_ip"), F.col("target_port"))))
-    lines = df.groupBy("incident_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("step", "line"))), 1, 50).alias("steps"), F.min("us").alias("a"), F.max("us").alias("b"), F.count("*").alias("n"))
-    both = lines.join(risk(alerts), "incident_id").join(classified(alerts).select("incident_id", "intent", "classes"), "incident_id")
-    text = F.concat_ws(
+def _narrative() -> Column:
+    return F.concat_ws(
         "\n",
         F.concat(F.lit("INCIDENT "), F.col("incident_id"), F.lit(": "), F.col("intent"), F.lit(" ("), F.col("severity"), F.lit(", risk "), F.format_number("risk_score", 2), F.lit("/100)")),
-        F.concat(F.lit("Host "), F.col("source_ip"), F.lit(", "), F.col("asset_role"), F.lit(", from "), scalar.iso_time(F.col("a") / SECOND), F.lit(" to "), scalar.iso_time(F.col("b") / SECOND), F.lit("; "), F.col("n").cast("string"), F.lit(" alerts of "), F.array_join("classes", ", ")),
+        F.concat(F.lit("Host "), F.col("source_ip"), F.lit(", "), F.col("asset_role"), F.lit(", from "), scalar.iso_time(F.col("created_us") / SECOND), F.lit(" to "), scalar.iso_time(F.col("updated_us") / SECOND), F.lit("; "), F.col("alerts").cast("string"), F.lit(" alerts of "), F.array_join("classes", ", ")),
         F.lit("Timeline"),
         F.array_join(F.transform("steps", lambda s: s["line"]), "\n"),
         F.concat(F.lit("Base risk "), F.format_number("base_risk_sum", 2), F.lit(", synergy "), F.format_number("synergy_bonus", 2), F.lit(", asset factor "), F.format_number("asset_criticality", 2)),
         F.lit("Proposed: review, then block the source, isolate the host and share the indicators. Nothing here runs by itself; human approval is required."),
     )
-    return both.select("incident_id", text.alias("narrative"))
+
+
+def narrative(alerts: DataFrame) -> DataFrame:
+    """incident_id, narrative: a deterministic text of header, timeline, risk and next steps. Times come from the data."""
+    return _told(alerts).join(risk(alerts), "incident_id").select("incident_id", _narrative().alias("narrative"))
 
 
 def domains(alerts: DataFrame, evidence: str = "evidence") -> DataFrame:
@@ -132,15 +153,18 @@ def domains(alerts: DataFrame, evidence: str = "evidence") -> DataFrame:
     prints = F.coalesce(*(F.get_json_object(evidence, f"$.{k}") for k in ("ja4", "ja4_fingerprint", "matched_ja4", "observed_ja4")))
     ok = named.contains(".") & (F.length(named) < 256)
     df = alerts.select("incident_id", "us", "event_id", F.when(ok, named).alias("d"), F.when(F.length(prints) > 10, prints).alias("j"))
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("us", "event_id", F.col(c).alias("v"))))), lambda x: x["v"])
-    return df.groupBy("incident_id").agg(scalar.capped(in_order("d"), 20).alias("domains"), F.get(in_order("j"), 0).alias("ja4"))
+    # A name counts where it is met first; only an incident's first 20 are gathered.
+    met = df.where(F.col("d").isNotNull()).groupBy("incident_id", "d").agg(F.min(F.struct("us", "event_id")).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("incident_id").orderBy("at", "d"))
+    names = met.withColumn("nth", nth).where("nth <= 20").groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("nth", "d"))).alias("names"))
+    first = df.groupBy("incident_id").agg(F.min(F.when(F.col("j").isNotNull(), F.struct("us", "event_id", "j"))).alias("first"))
+    said = F.coalesce(F.transform("names", lambda x: x["d"]), F.array().cast("array<string>"))
+    return first.join(names, "incident_id", "left").select("incident_id", said.alias("domains"), F.col("first.j").alias("ja4"))
 
 
 def triage(alerts: DataFrame) -> DataFrame:
     """The chain of all steps: risk, class, techniques, narrative; always pending human review, never dispatched."""
-    mapped = with_technique(alerts).groupBy("incident_id").agg(F.sort_array(F.collect_set("technique_id")).alias("technique_ids"))
-    ends = alerts.groupBy("incident_id").agg(F.sort_array(F.collect_set("target_ip")).alias("target_ips"), F.sort_array(F.collect_set("target_port")).alias("target_ports"), F.max("us").alias("updated_us"))
-    out = risk(alerts)
-    for part in (classified(alerts), mapped, ends, narrative(alerts)):
-        out = out.join(part, "incident_id")
+    scored = risk(alerts)
+    more = ("classes", "stages", "alerts", "multi_stage", "intent", "technique_ids", "target_ips", "target_ports", "updated_us")
+    out = scored.join(_told(alerts), "incident_id").select(*scored.columns, *more, _narrative().alias("narrative"))
     return out.withColumns({"requires_human_approval": F.lit(True), "status": F.lit("PENDING_REVIEW"), "dispatched": F.lit(False)})

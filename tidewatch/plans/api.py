@@ -91,9 +91,15 @@ def simulate(spark: SparkSession, name: str = "apt") -> DataFrame:
     return scenarios.simulate(spark, name)
 
 
-def replay(spark: SparkSession, rows_per_second: int = 1000) -> DataFrame:
-    """A paced stream of numbered rows, to drive stream jobs without traffic."""
-    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+def replay(rows: DataFrame, speed: float = 1.0) -> DataFrame:
+    """rows as a stream at the pace of their times `us`, `speed` times as fast: what fell into a second comes together, stamped with when it did (`replayed_at`)."""
+    start = rows.agg(F.min("us")).first()[0] or 0
+    tick = "_tick"
+    while tick in rows.columns:
+        tick = "_" + tick
+    due = F.floor((F.col("us") - start) / (cep.SECOND * speed)).alias(tick)
+    ticks = rows.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.select(F.col("value").alias(tick), F.col("timestamp").alias("replayed_at")).join(rows.select("*", due), tick).drop(tick)
 
 
 def resource_usage(samples: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FIELDS = "path string, number bigint, ts double, src_ip string, src_port int, dst_ip string, dst_port int, proto string, length int, tcp_flags int"
 _PROTOCOLS = {1: "icmp", 6: "tcp", 17: "udp"}
@@ -63,3 +65,50 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema)
 
     return files.mapInArrow(run, FIELDS)
+
+
+SYN, RST, ACK = 2, 4, 16
+
+
+def connections(packets: DataFrame, idle: float = 60.0) -> DataFrame:
+    """One row per connection of packets, as the conn detectors read them: packets between the same two ends with no gap over `idle` seconds.
+
+    The side of the first packet is the originator; bytes are lengths on the wire. A TCP connection is S0
+    if nothing came back, REJ if a reset did and no SYN with ACK, else SF; others are S0 or SF.
+    """
+    here, there = (F.struct(F.col(f"{e}_ip").alias("ip"), F.col(f"{e}_port").alias("port")) for e in ("src", "dst"))
+    own = ["path", "proto", "low", "high"]
+    in_order = Window.partitionBy(*own).orderBy("ts", "number")
+    df = packets.withColumns({"low": F.least(here, there), "high": F.greatest(here, there)})
+    new = F.coalesce((F.col("ts") - F.lag("ts").over(in_order) > idle).cast("int"), F.lit(1))
+    df = df.withColumn("new", new).withColumn("nth", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    flag = lambda bit: F.col("tcp_flags").bitwiseAND(bit) != 0
+    # Both sides are added up apart, as the first packet, known at the end only, says which is which.
+    sides = df.groupBy(*own, "nth", here.alias("side")).agg(
+        F.min(F.struct("ts", "number", there.alias("to"))).alias("first"),
+        F.max("ts").alias("last"),
+        F.count("*").alias("pkts"),
+        F.sum(F.col("length").cast("long")).alias("bytes"),
+        F.coalesce(F.bool_or(flag(RST)), F.lit(False)).alias("reset"),
+        F.coalesce(F.bool_or(flag(SYN) & flag(ACK)), F.lit(False)).alias("agreed"),
+    )
+    both = sides.groupBy(*own, "nth").agg(F.array_sort(F.collect_list(F.struct("first", "side", "last", "pkts", "bytes", "reset", "agreed"))).alias("s"))
+    a, b = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    refused = (F.col("proto") == "tcp") & b["reset"] & ~b["agreed"]
+    start = a["first"]["ts"]
+    return both.select(
+        (start * 1_000_000).cast("long").alias("us"),
+        start.alias("ts"),
+        F.substring(F.sha2(F.concat_ws(" ", "path", "proto", a["side"]["ip"], a["side"]["port"].cast("string"), a["first"]["to"]["ip"], a["first"]["to"]["port"].cast("string"), a["first"]["number"].cast("string")), 256), 1, 18).alias("uid"),
+        a["side"]["ip"].alias("src_ip"),
+        a["side"]["port"].alias("src_port"),
+        a["first"]["to"]["ip"].alias("dst_ip"),
+        a["first"]["to"]["port"].alias("dst_port"),
+        "proto",
+        (F.greatest(a["last"], F.coalesce(b["last"], a["last"])) - start).alias("duration"),
+        a["bytes"].alias("orig_bytes"),
+        F.coalesce(b["bytes"], F.lit(0)).alias("resp_bytes"),
+        a["pkts"].alias("orig_pkts"),
+        F.coalesce(b["pkts"], F.lit(0)).alias("resp_pkts"),
+        F.when(b.isNull(), "S0").when(refused, "REJ").otherwise("SF").alias("conn_state"),
+    )
