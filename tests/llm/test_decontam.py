@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import decontam
 from tidewatch.llm.decontam import contamination, without_hits
@@ -42,9 +43,10 @@ def data():
     return [(i if i != 3 else None, t) for i, t in enumerate(docs)] + [(5, docs[5])], items
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_hits_equal_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("most,most_bytes", [(10**6, 10**6), (10**6, 0), (0, 0)])
+def test_hits_equal_brute_force(spark, monkeypatch, most, most_bytes):
     monkeypatch.setattr(decontam, "MOST_BROADCAST", most)
+    monkeypatch.setattr(decontam, "MOST_BYTES", most_bytes)
     docs, items = data()
     d = spark.createDataFrame([(*x, "x") for x in docs], "doc_id long, text string, _key string")
     b = spark.createDataFrame([(*x, "x") for x in items], "item_id long, text string, words string")
@@ -54,6 +56,15 @@ def test_hits_equal_brute_force(spark, monkeypatch, most):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_rows_of_one_hash_are_told_apart_by_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "row_key", lambda doc_id, text: F.struct(doc_id.alias("id"), F.lit(1).alias("hash")))
+    bench = "one two three four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(1, bench), (2, "clean"), (None, f"a {bench} b " + "c " * 30)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, bench)], "item_id long, text string")
+    assert {r.doc_id: len(r.hit) for r in contamination(d, b).collect()} == {1: 11, 2: 0, None: 11}
+    assert {r.doc_id: r.text for r in without_hits(d, b).collect()} == {2: "clean", None: "a  b " + "c " * 30}
+
+
 def test_spans_go_and_clean_texts_stay(spark):
     bench = "the quick brown fox jumps over the lazy dog today again"
     docs = [(1, f"Before, is kept ok: {bench.upper()} -- and after. " + "rest " * 20, 5), (2, bench, 5), (3, "nothing here", 5), (None, None, 5), (4, "", 5)]

@@ -18,6 +18,8 @@ from tidewatch.llm.tables import fresh, hash_side, table, text_or_empty, written
 WINDOW = 10
 #: Runs of benchmark windows up to which their hash set is broadcast (some 50 bytes each); larger sets are joined by shuffle.
 MOST_BROADCAST = 1_000_000
+#: Bytes of the windows' words up to which the windows are broadcast for verification, however few they are.
+MOST_BYTES = 64_000_000
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,9 +48,12 @@ def windows_of(items: DataFrame, item_id: str, text: str, window: int = WINDOW)
 
 def occurrences(docs: DataFrame, windows: DataFrame, key: str, words: str) -> DataFrame:
     """key, start (from 0), length and item_id of every occurrence of a window in the array `words`."""
-    found = windows.groupBy("length").count().collect()  # at most WINDOW rows
+    said = F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 8))
+    found = windows.groupBy("length").agg(F.count("*").alias("count"), said.alias("bytes")).collect()  # at most WINDOW rows
     runs_wanted = sum(r["count"] * run_and_step(r["length"])[1] for r in found)
-    send = F.broadcast if runs_wanted <= MOST_BROADCAST else lambda df: df
+    few = runs_wanted <= MOST_BROADCAST
+    small = few and sum(r["bytes"] for r in found) <= MOST_BYTES
+    send = lambda df, ok: F.broadcast(df) if ok else df
     lengths = sorted(r["length"] for r in found)
     if not lengths:
         lengths = [WINDOW]
@@ -64,19 +69,24 @@ def occurrences(docs: DataFrame, windows: DataFrame, key: str, words: str) -> Da
     known = reduce(DataFrame.unionByName, parts).distinct()
     probe = F.concat(*probes) if len(probes) > 1 else probes[0]
     read = docs.select(key, words, F.explode(probe).alias("_p")).select(key, words, "_p.length", "_p.at", "_p.run")
-    hit = read.join(send(known), ["length", "run"], "left_semi")
+    hit = read.join(send(known, few), ["length", "run"], "left_semi")
     # The window that covers the run starts up to (step - 1) words before it.
     step_of = reduce(lambda out, n: F.when(F.col("length") == n, run_and_step(n)[1]).otherwise(out), lengths, F.lit(1))
     first, last = F.greatest(F.lit(1), F.col("at") - step_of + 1), F.least(F.col("at"), F.size(words) - F.col("length") + 1)
     starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     tried = hit.select(key, "length", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice(words, s, F.col("length")).alias("words")))).alias("_t"))
     tried = tried.select(key, "length", (F.col("_t.s") - 1).alias("start"), F.col("_t.words").alias("words"))
-    return tried.join(send(windows), ["length", "words"]).select(key, "start", "length", "item_id")
+    return tried.join(send(windows, small), ["length", "words"]).select(key, "start", "length", "item_id")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart: the id, null or not, and a hash of id and text, so that only texts of one id could be taken for each other."""
+    return F.struct(doc_id.alias("id"), F.xxhash64(doc_id, text).alias("hash"))
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """_key (a hash of id and text), hit (positions of hit words, ascending) and items, of the documents with hits."""
-    keyed = docs.select(F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("_key"), words_of(text_or_empty(text)).alias("_words"))
+    """_key (as row_key makes it), hit (positions of hit words, ascending) and items, of the documents with hits."""
+    keyed = docs.select(row_key(F.col(doc_id), F.col(text).cast("string")).alias("_key"), words_of(text_or_empty(text)).alias("_words"))
     # Repeated rows share a key, so their occurrences come more than once; sets take them once.
     found = occurrences(keyed, windows_of(items, item_id, item_text), "_key", "_words")
     found = found.groupBy("_key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
@@ -91,10 +101,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     items or none has words. Items are told apart by id; repeated items count once, repeated
     documents each. A null doc_id stays null; a null item_id is left out of `items`, while its
     windows still hit. Texts of any length are read whole; other columns play no part. Rows of one id
-    and text (by a 64-bit hash) share their hits.
+    whose texts have one 64-bit hash share their hits.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = rows.withColumns({"_key": F.xxhash64("doc_id", "text"), "n_words": F.size(words_of(text_or_empty("text"))).cast("long")})
+    out = rows.withColumns({"_key": row_key(F.col("doc_id"), F.col("text")), "n_words": F.size(words_of(text_or_empty("text"))).cast("long")})
     found = hits(docs, items, doc_id, text, item_id, item_text)
     kind = items.schema[item_id].dataType.simpleString()
     return out.join(found, "_key", "left").select("doc_id", "text", "n_words", F.coalesce("hit", F.array().cast("array<int>")).alias("hit"), F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"))
@@ -108,12 +118,12 @@ def without_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     Untouched documents keep their text as it is, null included. All columns are kept, whatever they
     are called; repeated rows each stay or go alike; an empty table gives an empty one, and without
-    items all stay; texts of any length are read whole. Rows of one id and text (by a 64-bit hash) are
-    judged together.
+    items all stay; texts of any length are read whole. Rows of one id whose texts have one 64-bit
+    hash are judged together.
     """
     key, clean, gone = fresh(docs, "_row", "_clean", "_gone")
     body = F.col(text).cast("string")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), body))
+    keyed = docs.withColumn(key, row_key(F.col(doc_id), body))
     found = written(hits(docs, items, doc_id, text, item_id, item_text).select(F.col("_key").alias(key), F.col("hit").alias(gone)), "hits")
     # Only documents with hits are taken apart; the others meet a small table of what came of those.
     touched = keyed.select(key, body.alias(clean)).join(hash_side(found, F.size(gone) + 4, 5_000_000), key)
