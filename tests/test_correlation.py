@@ -45,6 +45,12 @@ def test_evidence_merges_by_ending(spark):
     assert float(got["packet_count"]) == 300 and float(got["pps_rate"]) == 1000 and got["note"] == "b"
 
 
+def test_large_sums_of_evidence_are_written_plainly(spark):
+    rows = [("x", "out_bytes", "9000000", 1), ("x", "out_bytes", "6000001", 2), ("x", "pps_rate", "25000000", 1)]
+    got = {r.key: r.value for r in cep.merged_evidence(spark.createDataFrame(rows, "g string, key string, value string, us long"), ["g"]).collect()}
+    assert got == {"out_bytes": "15000001.0", "pps_rate": "25000000.0"}
+
+
 def test_campaigns_need_three_hosts(spark):
     rows = [alert(i, i, source=f"192.168.1.{10 + i % 3}") for i in range(15)] + [alert(99, 1, source="10.0.0.1")]
     got = {r.subnet: r for r in cep.subnets(spark.createDataFrame(rows, SCHEMA)).collect()}

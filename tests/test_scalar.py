@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,3 +112,11 @@ def test_tls_codes(spark):
 def test_sql_functions(spark):
     scalar.register(spark)
     assert spark.sql("SELECT tw_entropy('aabb'), tw_subnet24('1.2.3.4'), tw_severity_rank('high')").first()[:] == (1.0, "1.2.3.0/24", 3)
+
+
+def test_numbers_are_written_as_in_sql(spark):
+    numbers = [0.0, -0.0, 1.0, -2.5, 0.001, 1e-4, 0.00012345, 9.999999999e-4, 1e-5, 1.25e-7, 1e-10, 9_999_999.0, 1e7, -15_118_968.0, 12_345_678.25, 123456789012345.67, 9_999_999_999_999_998.0, 1e16, -1.5e16, 1e300, 1e-300, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    got = [r.t for r in df.select("i", scalar.number_text(F.col("x")).alias("t")).orderBy("i").collect()]
+    sql = duckdb.connect()
+    assert got == [sql.execute("SELECT CAST(CAST(? AS DOUBLE) AS VARCHAR)", [x]).fetchall()[0][0] for x in numbers]

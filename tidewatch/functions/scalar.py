@@ -331,6 +331,19 @@ def matches_search(term: str, *fields: Column) -> Column:
     return out
 
 
+def number_text(x: Column) -> Column:
+    """A double as the SQL engines beside Spark write it: plain from 1e-4 up to 1e16 (Spark: from 1e-3 up to 1e7), else as 1.5e+16."""
+    x, size = x.cast("double"), F.abs(x.cast("double"))
+    said = x.cast("string")
+    whole = F.concat(x.cast("long").cast("string"), F.lit(".0"))
+    trimmed = lambda digits: F.rtrim(x.cast(f"decimal(38, {digits})").cast("string"), F.lit("0"))
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, r"\.0E", "E"), r"E(\d)", "e+$1"), r"E-(\d+)", "e-$1")
+    short = F.regexp_replace(short, r"e-(\d)$", "e-0$1")
+    large, small = (size >= 1e7) & (size < 1e16), (size >= 1e-4) & (size < 1e-3)
+    # NaN is over all numbers here.
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(large, F.when(x == F.floor(x), whole).otherwise(trimmed(10))).when(small, trimmed(22)).otherwise(short)
+
+
 def human_bytes(n: Column) -> Column:
     step = F.when(n >= 1, F.floor(F.log(n) / F.lit(6.931471805599453))).otherwise(F.lit(0)).cast("int")
     units = F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB", "PB")))
