@@ -175,8 +175,8 @@ c AS (SELECT * FROM (SELECT *, CASE WHEN orig_bytes >= 10485760 AND flow_ratio >
 a AS (SELECT c.*, CASE kind WHEN 'flow' THEN 'CRITICAL' ELSE 'HIGH' END AS severity, round(CASE kind WHEN 'flow' THEN least(0.99, 0.90 + CASE WHEN orig_bytes > 52428800 THEN 0.08 ELSE 0.04 END) WHEN 'minute' THEN least(0.95, 0.82 + CASE WHEN r60 > 20 THEN 0.10 ELSE 0.05 END) ELSE 0.88 END, 4) AS confidence FROM c JOIN (SELECT event_id FROM kept WHERE ok) USING (event_id))
 SELECT event_id, kind, severity, confidence, src_ip AS source_ip, dst_ip AS target_ip, CASE kind WHEN 'flow' THEN orig_bytes ELSE out_60 END AS bytes_out, round(p95, 4) AS p95_baseline FROM a""", "conn"))
 def exfil_alert_fields(spark, d):
-    """With the quantile gate on, at an accuracy of 10,000: ranks err by less than one up to so many flows of a source, and so equal the exact ones of the SQL. At the detector's default of 1,000, ranks may err by a thousandth."""
-    df = detect.detect_exfil(telemetry.conn(spark, d), accuracy=10_000)
+    """With the quantile gate on, whose ranks are exact."""
+    df = detect.detect_exfil(telemetry.conn(spark, d))
     kind = F.when(F.col("severity") == "CRITICAL", "flow").when(F.col("confidence") == 0.88, "slow").otherwise("minute")
     got = lambda n, t: F.get_json_object("evidence", f"$.{n}").cast(t).alias(n)
     return df.select("event_id", kind.alias("kind"), "severity", F.round("confidence", 4).alias("confidence"), "source_ip", "target_ip", got("bytes_out", "long"), got("p95_baseline", "double"))
