@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import MOST_SENT, hash_side, table, text_or_empty, written
+from tidewatch.llm.tables import MOST_SENT, files_for, hash_side, table, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,7 @@ def scan_unseen(versions: DataFrame, path: str = "path", content: str = "content
     else:
         held = ledger.where(F.col("rule_version") == version).select("blob").distinct().withColumn("known", F.lit(True))
         blobs = blobs.join(held, "blob", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    blobs = written(blobs, "blobs")
+    blobs = written(blobs, "blobs", files_for(versions.count()))
     new, other = blobs.where("not known").select("blob", F.col("least").alias("key")), blobs.where("known or n > 1").select("blob", "least", "known")
     n_new, n_other = new.count(), other.count()
     if n_new <= min(most, n_other):
@@ -152,7 +152,8 @@ def op2_secret_scan(spark, sf_dir):
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # The ledger is a table: so no filter on findings moves the scan before the choice of what to scan.
-    found = findings_by_path(docs, written(scan_unseen(docs, "doc_id", "text"), "ledger"), "doc_id", "text")
+    ledger = written(scan_unseen(docs, "doc_id", "text"), "ledger", files_for(docs.count()))
+    found = findings_by_path(docs, ledger, "doc_id", "text")
     spans, n_base = F.col("spans"), sum(r.base for r in RULES)
     base = F.filter(spans, lambda s: s["rank"] < n_base)
     number = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

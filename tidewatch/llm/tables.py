@@ -30,8 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
+#: Rows that a file of a written table stands for at least, beyond FEW_FILES files.
+FILE_ROWS, FEW_FILES = 20_000, 12
+
+
+def files_for(rows: int) -> int:
+    """How many files a table of about so many short rows may have: without native Hadoop code, each file that a task opens starts processes, whose memory the system counts as that of the executor over again until they run."""
+    return max(FEW_FILES, -(-rows // FILE_ROWS))
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, of so many files at most: its lineage ends there, so a lost executor costs no recomputation."""
+    df = df if files is None else df.coalesce(files)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
