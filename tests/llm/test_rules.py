@@ -56,6 +56,19 @@ def test_rare_junk_is_found_by_a_small_sample(spark):
     assert {r.doc_id for r in rules.judge(df, forest).where("not kept").collect()} == {7, 1007, 2007}
 
 
+def test_all_labelled_rows_set_the_threshold(spark):
+    """Good rows of all lengths of words, more than any sample that the fit drew."""
+    rows = [(i, " ".join(["x" * (10 + (i * 7919 % 20_011) // 50)] * 5 + VOCABULARY[i % 300 : i % 300 + 20]) + (" A#B" * 9 if i % 900 == 1 else "")) for i in range(20_000)]
+    quality = {i: int(i % 900 != 1) for i, _ in rows}
+    forest = rules.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(quality.items()), "doc_id long, quality int"))
+    stats = rules.all_statistics([t for _, t in rows])
+    ok = ~rules.base_failed(stats)
+    scores, good = forest.scores(rules.features(stats)), np.array(list(quality.values())) == 1
+    edge = np.quantile(scores[ok & good], 0.999, method="higher")
+    worse = scores[ok & ~good & (scores > edge)]
+    assert ok.sum() > 19_000 and abs(forest.pass_below - ((edge + worse.min()) / 2 if len(worse) else edge + 1e-9)) < 1e-15
+
+
 def test_junk_by_its_words_alone(spark):
     """Long strings, single letters and a handful of words in random order: no symbols, capitals or repeated windows give them away."""
     few = ["alpha", "bravo", "cedar", "delta", "ember", "fable"]
